@@ -40,14 +40,19 @@ def blocked_bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     return keys.select(block.alias("block"), *(w.alias(f"w{i}") for i, w in enumerate(words))).groupBy("block").agg(*(F.expr(f"bit_or(w{i})").alias(f"w{i}") for i in range(4)))
 
 
+def mark(df: DataFrame, key: str, bloom: DataFrame, blocks: int, name: str) -> DataFrame:
+    """`df` and a column that is false for rows whose key is certainly not in the filter."""
+    block, words = _spot(F.col(key), blocks)
+    probed = df.withColumn("_block", block).join(F.broadcast(bloom.withColumnRenamed("block", "_block")), "_block", "left")
+    held = F.lit(True)
+    for i, w in enumerate(words):
+        held = held & (F.col(f"w{i}").bitwiseAND(w) == w)
+    return probed.withColumn(name, F.coalesce(held, F.lit(False))).select(*df.columns, name)
+
+
 def may_contain(df: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
     """The rows of `df` whose key may be in the filter: all that are, and some others."""
-    block, words = _spot(F.col(key), blocks)
-    probed = df.withColumns({"_block": block} | {f"_m{i}": w for i, w in enumerate(words)})
-    hit = probed.join(F.broadcast(bloom), probed["_block"] == bloom["block"])
-    for i in range(4):
-        hit = hit.where(F.col(f"w{i}").bitwiseAND(F.col(f"_m{i}")) == F.col(f"_m{i}"))
-    return hit.select(*df.columns)
+    return mark(df, key, bloom, blocks, "_held").where("_held").drop("_held")
 
 
 def url_verdicts(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
