@@ -308,10 +308,10 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> Machine:
     """A machine from the labelled rows that aren't held out: at most `rows` of each class, in the order of a hash of the id, with texts of at most `longest` characters. The driver gets these alone."""
-    known = docs.select("doc_id", "text").where((~held_out(F.col("doc_id"))) & (F.length("text") <= longest)).join(labels.select("doc_id", "toxic").where("toxic is not null").distinct(), "doc_id")
-    got = []
-    for y in (0, 1):
-        got += known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "text").limit(rows).select("text", "toxic").collect()
+    ids = [labels.where((~held_out(F.col("doc_id"))) & (F.col("toxic") == y)).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
+    # At most 2 * rows ids are broadcast; texts move only if they are in the sample.
+    known = docs.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").where(F.length("text") <= longest)
+    got = known.orderBy(F.xxhash64("doc_id"), "text", "toxic").limit(2 * rows).select("text", "toxic").collect()
     return train([tuple(x) for x in got])
 
 
