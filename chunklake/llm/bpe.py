@@ -46,7 +46,8 @@ class Encoder:
         self.ids = {raw(k): v for k, v in vocab.items()}
         self.added = {x["content"]: x["id"] for x in data["added_tokens"]}
         self.text_of = {v: k for k, v in self.ids.items()} | {v: k.encode() for k, v in self.added.items()}
-        self.split = regex.compile(PATTERN).findall
+        self.pattern = regex.compile(PATTERN)
+        self.split = self.pattern.findall
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
         # A token's age: bytes are oldest, then merges in order. `parts`: what a token was merged from.
         self.merged: dict[tuple[int, int], int] = {}

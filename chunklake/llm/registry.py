@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES, and ORACLE_SQL where there is any.
-MODULES = ("bpe", "urls", "simhash", "quality", "toxicity", "contamination", "lines", "brown", "suffixes")
+MODULES = ("bpe", "urls", "simhash", "quality", "toxicity", "contamination", "lines", "brown", "suffixes", "counts")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
