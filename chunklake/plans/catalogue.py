@@ -1,4 +1,11 @@
 """Every registered query of the engine, and its SQL text."""
 
+from __future__ import annotations
+
+from . import ssb, tpch, trips
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _m in (ssb, tpch, trips):
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.ORACLE_SQL
