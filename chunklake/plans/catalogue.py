@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import ssb, tpch, trips
+from . import chunks, columns, ssb, tpch, trips
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _m in (ssb, tpch, trips):
+for _m in (ssb, tpch, trips, columns, chunks):
     QUERIES |= _m.QUERIES
     ORACLE_SQL |= _m.ORACLE_SQL
