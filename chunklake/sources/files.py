@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 CODECS = {"lz4": "lz4_raw", "snappy": "snappy", "cascaded": "zstd", "gdeflate": "gzip", "bitcomp": "snappy", "ans": "zstd", "zstd": "zstd", "uncompressed": "uncompressed"}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", header: bool = True, start: int | None = None, end: int | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", header: bool = True, start: int | None = None, end: int | None = None) -> DataFrame:
     """A text table of a given schema. A delimiter at the end of rows is allowed. `start` and `end`: rows from start (1 is the first) to end, not included; the order is that of the files, which one pass numbers."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     trailing = T.StructType([*schema.fields, T.StructField("_trailing", T.StringType())])
     rows = spark.read.schema(trailing).option("sep", sep).option("header", header).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(path)
     if start is None and end is None:
@@ -36,7 +37,7 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", trailing: bool = False)
     df.write.mode("overwrite").option("sep", sep).option("header", True).option("emptyValue", "").csv(path)
 
 
-def read_tables(spark: SparkSession, path: str, names: list[str], schemas: dict[str, T.StructType] | None = None, sep: str = ",") -> dict[str, DataFrame]:
+def read_tables(spark: SparkSession, path: str, names: list[str], schemas: dict[str, T.StructType | str] | None = None, sep: str = ",") -> dict[str, DataFrame]:
     """A directory of tables: <name>.csv if schemas are given, else <name>.parquet."""
     if schemas:
         return {n: read_csv(spark, f"{path}/{n}.csv", schemas[n], sep) for n in names}
@@ -69,7 +70,7 @@ def main(args: list[str] | None = None) -> None:
 
     spark = session()
     if a.op == "csv2parquet":
-        read_csv(spark, a.source, T.StructType.fromDDL(a.schema), a.sep).write.mode("overwrite").option("compression", CODECS.get(a.codec, a.codec)).parquet(a.target)
+        read_csv(spark, a.source, a.schema, a.sep).write.mode("overwrite").option("compression", CODECS.get(a.codec, a.codec)).parquet(a.target)
     elif a.op == "parquet2csv":
         write_csv(spark.read.parquet(a.source), a.target, a.sep)
     elif a.op == "pre_aggr":
