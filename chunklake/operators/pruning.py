@@ -101,6 +101,12 @@ def pruned_scan(data: DataFrame, chunks: DataFrame) -> DataFrame:
     return data.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
 
 
+def listed_scan(data: DataFrame, chunks: DataFrame, most: int = 10_000) -> DataFrame:
+    """The same, with the chunks' numbers as a partition filter that is known when the scan is planned; only if they are `most` or fewer, else as pruned_scan() does."""
+    ids = [r[0] for r in chunks.select("chunk_id").limit(most + 1).collect()]
+    return pruned_scan(data, chunks) if len(ids) > most else data.where(F.col("chunk_id").isin(ids))
+
+
 def skipped(meta: DataFrame, kept: DataFrame) -> DataFrame:
     """One row: chunks, pruned_chunks, rows, pruned_rows."""
     a = meta.agg(F.count(F.lit(1)).alias("chunks"), F.sum("rows").alias("rows"))

@@ -107,6 +107,13 @@ def test_clustered_layout(spark, tmp_path):
     assert "dynamicpruning" in plan or "PartitionFilters" in plan
 
 
+def test_listed_scan(spark, tmp_path):
+    t = layout.clustered_write(spark.range(100).select(F.col("id").alias("v")), f"file://{tmp_path}/t", 4, ["v"])
+    some = spark.sql("select 1 as chunk_id")
+    rows = [pruning.listed_scan(t, some, n).count() for n in (10, 0)]
+    assert rows[0] == rows[1] and 0 < rows[0] < 100
+
+
 def test_kmeans_chunks(spark):
     df = spark.range(600).select((F.col("id") % 3 * 100 + F.rand(1)).alias("x"), F.rand(2).alias("y"))
     chunks = layout.kmeans_chunks(df, ["x", "y"], 3, 5, most_rows=150)
