@@ -15,24 +15,21 @@ GRAM = 32
 CHUNK, PLACE = 1 << 20, 24
 
 
-def _mixed(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-    """A hash of the pair of hashes, wrapping."""
-    out = x * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-    out += y
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    return out
+#: A number for each byte, and the base of the polynomial; any odd base and any distinct numbers do, since anchors only say which runs to compare.
+_BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """The hash of the GRAM bytes from each place on, for all that have as many. By doubling: pairs of halves."""
-    h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
-    n = 1
+    """The hash of the GRAM bytes from each place on, for all that have as many: a polynomial of 64 bits, by doubling, and a last mixing."""
+    h, n = _BYTES[data], 1
     while n < GRAM:
-        h = _mixed(h[:-n], h[n:], n)
-        n *= 2
+        right = h[n:] * np.uint64(pow(_BASE, n, 1 << 64))
+        right += h[:-n]
+        h, n = right, 2 * n
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
     return h
 
 

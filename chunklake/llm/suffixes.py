@@ -10,7 +10,7 @@ split first, in such a way that equal windows always meet:
 3. Different runs with one anchor share some windows, or none. Their strings, 170 bytes or fewer, are a collection that is
    built column-wise: each round puts one symbol of each string before the suffixes so far, which keeps suffixes sorted and
    yields the transform; then common prefixes of neighbours show equal windows, of which all but the earliest go.
-   Collections are bounded; an anchor with more runs than COLLECTION is split by the windows' hashes instead.
+   Collections are bounded; an anchor with more runs than LARGEST is split by the windows' hashes instead.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from .anchors import WINDOW, runs
 from .common import table, written
 
-#: Strings in a collection at most, but for the last anchor's that joins it.
+#: Strings of which a collection is made at least: it is built when it has so many.
 COLLECTION = 512
+#: Strings of one anchor that a collection takes at most: 3 MB of text, and arrays of 100 MB.
+LARGEST = 1 << 14
 #: Blocks of 256 bits of a filter at most: 8 MB. Beyond what it holds well, more rows pass; results stay the same.
 MAX_BLOCKS = 1 << 18
 
@@ -71,9 +73,11 @@ def sorted_suffixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     sizes = np.array([len(x) for x in strings], np.int32)
     width = int(sizes.max(initial=0))
     # column[j]: the symbol before the suffix of length j of each string; 0 before a whole string.
-    column = np.zeros((width + 1, n), np.uint16)
+    # Byte 255 never occurs in UTF-8, so that symbols fit in a byte; where it does, they take two.
+    kind = np.uint16 if any(b"\xff" in x for x in strings) else np.uint8
+    column = np.zeros((width + 1, n), kind)
     for k, x in enumerate(strings):
-        column[: len(x), k] = np.frombuffer(x, np.uint8)[::-1].astype(np.uint16) + 1
+        column[: len(x), k] = np.frombuffer(x, np.uint8)[::-1].astype(kind) + kind(1)
     flat = column.ravel()
     # A suffix is known by where its next symbol is: length * n + string.
     empty = np.arange(n, dtype=np.int32)
@@ -199,11 +203,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield solved(groups)
 
     # Windows of different anchors differ, so that several anchors' strings may share a collection.
-    small = dealt.where((F.col("k") > 1) & (F.col("k") <= COLLECTION)).groupBy("a").agg(F.array_sort(F.collect_list(F.struct(F.col("id").isNull().alias("late"), "id", "th", "lo", "s"))).alias("g")).select("g")
+    small = dealt.where((F.col("k") > 1) & (F.col("k") <= LARGEST)).groupBy("a").agg(F.array_sort(F.collect_list(F.struct(F.col("id").isNull().alias("late"), "id", "th", "lo", "s"))).alias("g")).select("g")
     shared = small.mapInArrow(collections, f"id {kind}, th bigint, lo bigint, hi bigint")
 
     window = F.explode(F.sequence(F.lit(0), F.length("s") - WINDOW)).alias("o")
-    each = dealt.where(F.col("k") > COLLECTION).select("a", "id", "th", "lo", "s", window).select("a", "id", "th", (F.col("lo") + F.col("o")).alias("lo"), F.xxhash64(F.expr(f"substring(s, o + 1, {WINDOW})")).alias("w"))
+    each = dealt.where(F.col("k") > LARGEST).select("a", "id", "th", "lo", "s", window).select("a", "id", "th", (F.col("lo") + F.col("o")).alias("lo"), F.xxhash64(F.expr(f"substring(s, o + 1, {WINDOW})")).alias("w"))
     earliest = each.groupBy("a", "w").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "w", "p")
     hot = each.join(earliest, ["a", "w"]).where(place != F.col("p")).select("id", "th", "lo", (F.col("lo") + WINDOW).alias("hi"))
     return copies.unionByName(shared).unionByName(hot)
