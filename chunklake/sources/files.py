@@ -57,12 +57,13 @@ def peek(df: DataFrame, n: int = 10) -> list:
 
 
 def main(args: list[str] | None = None) -> None:
-    """Command line: csv2parquet, parquet2csv, peek, pre_aggr."""
+    """Command line: csv2parquet, parquet2csv, peek, pre_aggr, sort."""
     p = argparse.ArgumentParser(description="Converts tables.")
-    p.add_argument("op", choices=["csv2parquet", "parquet2csv", "peek", "pre_aggr"])
+    p.add_argument("op", choices=["csv2parquet", "parquet2csv", "peek", "pre_aggr", "sort"])
     p.add_argument("source")
     p.add_argument("target", nargs="?")
     p.add_argument("--schema", help="column names and types, as in SQL")
+    p.add_argument("--by", default="", help="sort: columns, with commas")
     p.add_argument("--sep", default=",")
     p.add_argument("--codec", default="snappy")
     a = p.parse_args(args)
@@ -73,6 +74,8 @@ def main(args: list[str] | None = None) -> None:
         read_csv(spark, a.source, a.schema, a.sep).write.mode("overwrite").option("compression", CODECS.get(a.codec, a.codec)).parquet(a.target)
     elif a.op == "parquet2csv":
         write_csv(spark.read.parquet(a.source), a.target, a.sep)
+    elif a.op == "sort":
+        spark.read.parquet(a.source).orderBy(*a.by.split(",")).write.mode("overwrite").option("compression", CODECS.get(a.codec, a.codec)).parquet(a.target)
     elif a.op == "pre_aggr":
         from ..functions.dates import date_dimension
         from ..operators.aggregates import rollup_weekly

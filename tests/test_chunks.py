@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chunklake.operators import advisor, aggregates, joins, layout, metadata, pruning
+from chunklake.operators import advisor, aggregates, joins, layout, metadata, pruning, sweep
 from chunklake.operators.joins import Dimension
 from chunklake.operators.pruning import Points, Range
 
@@ -150,3 +150,19 @@ def test_advice(spark, tmp_path):
 def test_slices():
     assert [len(x) for x in advisor.slices(6, 8)] == [1] * 6 + [0, 0]
     assert sum(len(x) for x in advisor.slices(29, 4)) == 29
+
+
+def test_sweep(spark, tmp_path):
+    df = spark.range(400).select((F.col("id") * 7 % 100).alias("v"), F.col("id").alias("w"))
+    runs = sweep.sweep(df, lambda rows: rows.where("v between 3 and 5").agg(F.sum("w")), [Range("v", 3, 5)], f"file://{tmp_path}", sorts={"natural": [], "v": ["v"]}, chunks=(4,), modes=("none", "combined"))
+    by = {(r.sort, r.mode): r for r in sweep.metrics(spark, runs).collect()}
+    assert by["v", "combined"].pruned_chunks >= 2 and by["v", "none"].pruned_chunks == 0
+    assert 0.4 < by["v", "combined"].skipped < 1 and by["natural", "none"].gib_s > 0
+
+
+def test_command_line(spark, tmp_path):
+    from chunklake.sources import files
+
+    spark.range(5).selectExpr("5 - id as a", "id as b").write.parquet(f"file://{tmp_path}/in")
+    files.main(["sort", f"file://{tmp_path}/in", f"file://{tmp_path}/out", "--by", "a"])
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 5
