@@ -8,11 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a longest run of bytes other than space, tab, LF, VT, FF and CR.
-WORD = r"[^\x20\x09-\x0D]+"
-#: The same as a separator, for split().
-SPACE = r"[\x20\x09-\x0D]+"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

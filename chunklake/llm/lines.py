@@ -11,25 +11,31 @@ its prefix words, and only sets that none of these settles meet all the others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 from .urls import KEYS_PER_BLOCK, MAX_BLOCKS, blocked_bloom, mark
 
 #: Least Jaccard similarity, in percent.
 SIMILAR_PCT = 80
-#: Counters of each of two rows of the frequency sketch that orders words by rarity. Rarity only orders; it decides nothing.
-COUNTERS = 1 << 15
+#: Counters of the frequency sketch that orders words by rarity. Rarity only orders; it decides nothing.
+COUNTERS = 1 << 16
+#: Sets of more words have a signature of 512 bits, too.
+WIDE = 100
 #: Bits of a word's hash that its code keeps below its rarity.
 HASH_BITS = 56
 
 
-def words(line: Column) -> Column:
-    """Runs of anything but white space (space, tab, LF, VT, FF, CR), in lower case. Splitting at a single space takes a fast path, so that other white space is replaced only where there is some."""
+def _split(line: Column) -> Column:
+    """Runs of anything but white space (space, tab, LF, VT, FF, CR), in lower case, and empty strings among them. Splitting at a single space takes a fast path, so that other white space is replaced only where there is some."""
     low = F.lower(line)
     plain = F.when(low.rlike(r"[\x09-\x0D]"), F.translate(low, "\t\n\x0b\f\r", "     ")).otherwise(low)
-    return F.array_remove(F.split(plain, " "), "")
+    return F.split(plain, " ")
+
+
+def words(line: Column) -> Column:
+    return F.array_remove(_split(line), "")
 
 
 def _blocks(n: int) -> int:
@@ -38,24 +44,17 @@ def _blocks(n: int) -> int:
 
 def _rarity(docs: DataFrame, text_col: str) -> Column:
     """The frequency sketch: for each counter, a step of the logarithm of its count. All words are counted; its size is fixed."""
-    seen = docs.select(F.explode(words(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")))).alias("w")).select(F.xxhash64("w").alias("h"))
-    # Counts of pairs of half-hashes would be as many as words; each row of the sketch is a sum over the other.
-    first = F.col("h").bitwiseAND(COUNTERS - 1)
-    second = F.shiftright("h", 15).bitwiseAND(COUNTERS - 1) + COUNTERS
-    steps = [0] * (2 * COUNTERS)
-    for slot, n in seen.select(F.explode(F.array(first, second)).alias("slot")).groupBy("slot").count().collect():
+    seen = docs.select(F.explode(_split(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")))).alias("w"))
+    steps = [0] * COUNTERS
+    for slot, n in seen.groupBy(F.xxhash64("w").bitwiseAND(COUNTERS - 1).alias("slot")).count().collect():
         steps[slot] = min(126, 4 * n.bit_length() + (n >> max(0, n.bit_length() - 3)) % 4)
-    return F.from_json(F.lit("[" + ",".join(map(str, steps)) + "]"), "array<int>")
+    return F.from_json(F.lit("[" + ",".join(map(str, steps)) + "]"), "array<bigint>")
 
 
 def _codes(line: Column, sketch: Column) -> Column:
     """The distinct words of a line as numbers, rarest first: rarity above, hash below, so equal words have equal codes."""
-
-    def code(h: Column) -> Column:
-        step = F.least(F.get(sketch, h.bitwiseAND(COUNTERS - 1).cast("int")), F.get(sketch, (F.shiftright(h, 15).bitwiseAND(COUNTERS - 1) + COUNTERS).cast("int")))
-        return F.shiftleft(step.cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
-
-    return F.sort_array(F.transform(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), code))
+    code = lambda h: F.shiftleft(F.get(sketch, h.bitwiseAND(COUNTERS - 1).cast("int")), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
+    return F.sort_array(F.transform(F.array_remove(F.array_distinct(F.transform(_split(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit(""))), code))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -71,18 +70,48 @@ def _place() -> Column:
     return F.struct(F.col("id").isNull().alias("last"), *(F.col(c) for c in PLACE[1:]))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, pct: int, id_col: str, text_col: str) -> DataFrame:
-    """Of pairs (x, y) of places, those of similar lines. Only documents and lines that pairs may name are read whole."""
-    named = written(pairs.select(F.explode(F.array("x", "y")).alias("p")).distinct().select(F.xxhash64("p.id", "p.th", "p.pos").alias("line_key"), F.xxhash64("p.id", "p.th").alias("doc_key")), "named")
-    n = named.count()
-    by_doc = written(blocked_bloom(named, "doc_key", _blocks(n)), "bloom")
-    by_line = written(blocked_bloom(named, "line_key", _blocks(n)), "bloom")
-    some = mark(docs.withColumn("_key", F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col)))), "_key", by_doc, _blocks(n), "_may").where("_may")
-    keyed = mark(_lines(some, id_col, text_col).withColumn("key", F.xxhash64("id", "th", "pos")), "key", by_line, _blocks(n), "_may").where("_may")
-    sets = keyed.select(_place().alias("p"), F.array_distinct(words(F.col("line"))).alias("s")).dropDuplicates(["p"])
-    xs, ys = sets.select(F.col("p").alias("x"), F.col("s").alias("sx")), sets.select(F.col("p").alias("y"), F.col("s").alias("sy"))
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, pct: int, id_col: str, text_col: str) -> DataFrame:
+    """Of pairs (x, y) of numbers of sets, the y of similar ones. Only documents and lines that pairs name are read whole: filters of bounded size find them, without a shuffle of texts."""
+    named = pairs.select(F.explode(F.array("x", "y")).alias("r")).distinct().join(sets.select("r", "p"), "r")
+    named = written(named.select("r", "p", F.xxhash64("p.id", "p.th", "p.pos").alias("line_key"), F.xxhash64("p.id", "p.th").alias("doc_key")), "named")
+    blocks = _blocks(named.count())
+    by_doc = written(blocked_bloom(named.select("doc_key").distinct(), "doc_key", blocks), "bloom")
+    by_line = written(blocked_bloom(named, "line_key", blocks), "bloom")
+    some = mark(docs.withColumn("_key", F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col)))), "_key", by_doc, blocks, "_may").where("_may")
+    keyed = mark(_lines(some, id_col, text_col).withColumn("key", F.xxhash64("id", "th", "pos")), "key", by_line, blocks, "_may").where("_may")
+    whole = keyed.select(_place().alias("p"), F.array_distinct(words(F.col("line"))).alias("s")).join(named.select("p", "r"), "p").dropDuplicates(["r"])
+    whole = written(whole.select("r", "s"), "sets")
     both = F.size(F.array_intersect("sx", "sy"))
-    return pairs.join(xs, "x").join(ys, "y").where(100 * both >= pct * (F.size("sx") + F.size("sy") - both)).select("x", "y")
+    met = pairs.join(whole.select(F.col("r").alias("x"), F.col("s").alias("sx")), "x").join(whole.select(F.col("r").alias("y"), F.col("s").alias("sy")), "y")
+    return met.where(100 * both >= pct * (F.size("sx") + F.size("sy") - both)).select("y").distinct()
+
+
+def _fits(pct: int):
+    """Whether two postings of one word may belong to similar sets, x before y. At least o = pct (xn + yn) / (100 + pct) words are common: the lengths must allow that, and the words from this one on (of which xleft and yleft are left), and the bits in which the signatures differ."""
+    xn, yn = F.shiftright("xl", 32), F.shiftright("yl", 32)
+    xleft, yleft = F.col("xl").bitwiseAND((1 << 32) - 1), F.col("yl").bitwiseAND((1 << 32) - 1)
+    return (
+        (F.col("x") < F.col("y"))
+        & (100 * F.least(xn, yn) >= pct * F.greatest(xn, yn))
+        & ((100 + pct) * F.least(xleft, yleft) >= pct * (xn + yn))
+        & ((100 + pct) * F.bit_count(F.col("xsig").bitwiseXOR(F.col("ysig"))) <= (100 - pct) * (xn + yn))
+    )
+
+
+def _narrowed(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Pairs (x, y) without those of long sets whose wide signatures differ in more bits than similar sets' can."""
+    wide = sets.where(F.col("wide").isNotNull()).select("r", "n", "wide")
+    x, y = (wide.select(F.col("r").alias(k), F.col("n").alias(f"{k}n"), F.col("wide").alias(f"{k}wide")) for k in "xy")
+    apart = F.aggregate(F.zip_with("xwide", "ywide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    both = pairs.join(x, "x", "left").join(y, "y", "left")
+    return both.where(F.coalesce((100 + pct) * apart <= (100 - pct) * (F.col("xn") + F.col("yn")), F.lit(True))).select("x", "y")
+
+
+def _postings(sets: DataFrame, name: str) -> DataFrame:
+    """Rows of a word, a set's number, its signature, and in one number its length (above) and how many of its words are left from this one on."""
+    rows = sets.select("r", "n", "sig", F.posexplode("head").alias("at", "w"))
+    length = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR((F.col("n") - F.col("at")).cast("bigint"))
+    return rows.select("w", F.col("r").alias(name), length.alias(f"{name}l"), F.col("sig").alias(f"{name}sig"))
 
 
 def repeated(docs: DataFrame, pct: int = SIMILAR_PCT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,49 +123,50 @@ def repeated(docs: DataFrame, pct: int = SIMILAR_PCT, id_col: str = "doc_id", te
     fit a task. Other columns aren't read.
     """
     sketch = _rarity(docs, text_col)
-    coded = _lines(docs, id_col, text_col).where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(_place().alias("p"), _codes(F.col("line"), sketch).alias("c"))
+    coded = _lines(docs, id_col, text_col).where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("id", "th", "pos", _codes(F.col("line"), sketch).alias("c"))
     n = F.size("c")
     head = F.slice("c", 1, (n * (100 - pct) / 100 + 1e-9).cast("int") + 1)
     parity = F.aggregate("c", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))))
-    rows = coded.select("p", F.xxhash64("c").alias("sh"), n.alias("n"), parity.alias("sig"), F.posexplode(head).alias("at", "w"))
-    # Equal sets have equal rows: the earliest stands for all. Rows are dealt by word once; grouping and joining by it need no other exchange.
-    posts = written(rows.groupBy("w", "sh", "n", "at", "sig").agg(F.min("p").alias("p")), "postings")
-    xs = posts.select("w", F.col("n").alias("xn"), F.col("at").alias("xat"), F.col("sig").alias("xsig"), F.col("p").alias("x"))
-    ys = posts.select("w", F.col("n").alias("yn"), F.col("at").alias("yat"), F.col("sig").alias("ysig"), F.col("p").alias("y"), "sh")
-    # o words in common at least: o = ceil(pct (xn + yn) / (100 + pct)), for the words of each that come after, and for the bits in which the signatures may differ.
-    least = pct * (F.col("xn") + F.col("yn"))
-    fits = (
-        (F.col("x") < F.col("y"))
-        & (100 * F.least("xn", "yn") >= pct * F.greatest("xn", "yn"))
-        & ((100 + pct) * F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat")) >= least)
-        & ((100 + pct) * F.bit_count(F.col("xsig").bitwiseXOR(F.col("ysig"))) <= (100 - pct) * (F.col("xn") + F.col("yn")))
-    )
-    first = posts.groupBy("w").agg(F.min_by(F.struct("n", "at", "sig", "p"), "p").alias("f")).select("w", F.col("f.n").alias("xn"), F.col("f.at").alias("xat"), F.col("f.sig").alias("xsig"), F.col("f.p").alias("x"))
-    near = written(ys.join(first, "w").where(fits).select("x", "y").distinct(), "near")
-    settled = written(_verified(docs, near, pct, id_col, text_col).select("y").distinct(), "settled")
-    blocks = _blocks(settled.count())
-    bloom = written(blocked_bloom(settled.withColumn("key", F.xxhash64("y.id", "y.th", "y.pos")), "key", blocks), "bloom")
-    told = mark(ys.withColumn("key", F.xxhash64("y.id", "y.th", "y.pos")), "key", bloom, blocks, "may").drop("key")
-    still = told.where("not may").drop("may").unionByName(told.where("may").drop("may").join(settled, "y", "left_anti").select(ys.columns))
-    rest = written(still.join(xs, "w").where(fits).select("x", "y").distinct(), "rest")
-    similar = settled.unionByName(_verified(docs, rest, pct, id_col, text_col).select("y").distinct())
-    similar = similar.select(F.col("y.last").alias("last"), F.col("y.id").alias("id"), F.col("y.th").alias("th"), F.col("y.pos").alias("pos"))
-
-    # Sets that a similar earlier one removes go in all their copies; other copies go but the first.
-    copies = _lines(docs, id_col, text_col).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    keyed = written(copies.select(_place().alias("p"), F.xxhash64(F.array_sort(F.array_distinct(words(F.col("line"))))).alias("set")), "keyed")
-    firsts = keyed.groupBy("set").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("n"))
-    gone = firsts.join(similar.select(F.struct("last", "id", "th", "pos").alias("p")), "p", "left_semi").select("set", F.lit(True).alias("all"))
-    several = firsts.where("n > 1").select("set", F.col("p").alias("first")).join(gone, "set", "full").select("set", "first", "all")
-    out = keyed.join(several, "set").where(F.col("all").isNotNull() | (F.col("p") != F.col("first")))
-    return out.select("p.id", "p.th", "p.pos").distinct()
+    # For long sets 64 bits say little: they get eight numbers, by three further bits of the words' codes.
+    part = lambda k: F.aggregate(F.filter("c", lambda w: F.shiftright(w, 6).bitwiseAND(7) == k), F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))))
+    wide = F.when(n > WIDE, F.array(*map(part, range(8))))
+    lines = written(coded.select("id", "th", "pos", F.xxhash64("c").alias("sh"), n.alias("n"), parity.alias("sig"), wide.alias("wide"), head.alias("head")), "lines")
+
+    # Equal sets are one, in the place of the earliest; sets are numbered in the order of their places.
+    sets = lines.groupBy("sh").agg(F.min(_place()).alias("p"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("wide").alias("wide"), F.first("head").alias("head"))
+    order = ["p.last", "p.id", "p.th", "p.pos"]
+    sets = written(sets.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("r", F.monotonically_increasing_id()), "numbered")
+
+    slim = written(lines.select("sh", "id", "th", "pos"), "places")
+    discard(lines)
+
+    # Each set and the first that has the word: as many pairs as postings, however often a word occurs.
+    so_far = Window.partitionBy("w").orderBy("y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    leads = _postings(sets, "y")
+    for c in ("", "l", "sig"):
+        leads = leads.withColumn(f"x{c}", F.first(f"y{c}").over(so_far))
+    near = written(_narrowed(leads.where(_fits(pct)).select("x", "y").distinct(), sets, pct), "near")
+    settled = written(_verified(docs, sets, near, pct, id_col, text_col), "settled")
+    # Those that aren't settled and all before them.
+    still = sets.join(settled.select(F.col("y").alias("r")), "r", "left_anti")
+    rest = written(_narrowed(_postings(still, "y").join(_postings(sets, "x"), "w").where(_fits(pct)).select("x", "y").distinct(), sets, pct), "rest")
+    similar = settled.unionByName(_verified(docs, sets, rest, pct, id_col, text_col)).select(F.col("y").alias("r")).distinct()
+
+    # A set that goes, goes in all its copies; of another, all copies but the first.
+    marked = sets.select("r", "sh", "p", "copies").join(similar.withColumn("all", F.lit(True)), "r", "left").where("all or copies > 1").select("sh", F.col("p").alias("first"), "all")
+    out = slim.join(marked, "sh").where(F.col("all").isNotNull() | (_place() != F.col("first")))
+    return out.select("id", "th", "pos").distinct()
 
 
 def dedup_lines(docs: DataFrame, pct: int = SIMILAR_PCT, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
-    """`docs`, their texts without repeated lines; with `counts` also n_lines and n_removed. A text that loses all its lines is empty; null stays null. Other columns stay as they are, and so do rows without repeated lines."""
-    gone = repeated(docs, pct, id_col, text_col).groupBy("id", "th").agg(F.collect_list("pos").alias("_gone")).withColumn("_key", F.xxhash64("id", "th"))
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))))
-    both = keyed.join(gone.select("_key", "_gone"), "_key", "left")
+    """`docs`, their texts without repeated lines; with `counts` also n_lines and n_removed. A text that loses all its lines is empty; null stays null. Other columns stay as they are, and so do rows without repeated lines, which don't move."""
+    gone = repeated(docs, pct, id_col, text_col).groupBy(F.xxhash64("id", "th").alias("_key")).agg(F.collect_set("pos").alias("_gone"))
+    gone = written(gone, "gone")
+    blocks = _blocks(gone.count())
+    bloom = written(blocked_bloom(gone, "_key", blocks), "bloom")
+    keyed = mark(docs.withColumn("_key", F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col)))), "_key", bloom, blocks, "_may")
+    plain = keyed.where("not _may").drop("_may").withColumn("_gone", F.lit(None).cast("array<int>"))
+    both = plain.unionByName(keyed.where("_may").drop("_may").join(gone, "_key", "left"))
     lines = F.split(F.col(text_col), "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)
