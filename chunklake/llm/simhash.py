@@ -9,7 +9,7 @@ t_i bits flipped); pairs in a bucket are verified on all 64 bits.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -198,10 +198,10 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return small.unionByName(large).where("u <> v")
 
 
-def classes(prints: DataFrame, id_col: str = "doc_id", name: str = "fingerprint") -> DataFrame:
-    """For each distinct fingerprint: it, first_id and component_id (the smallest id with it, and of all that links reach), n (its rows). Null ids are passed over; where there is no other, null."""
+def classes(prints: DataFrame, id_col: str = "doc_id", name: str = "fingerprint", linked: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
+    """For each distinct fingerprint (or other number `name` of which `linked` gives edges): it, first_id and component_id (the smallest id with it, and of all that links reach), n (its rows). Null ids are passed over; where there is no other, null."""
     reps = written(prints.groupBy(F.col(name).alias("fp")).agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("n")), "prints")
-    roots = written(components(links(reps)), "roots")
+    roots = written(components(linked(reps)), "roots")
     of = reps.join(roots, reps["fp"] == roots["node"]).groupBy("root").agg(F.min("first_id").alias("of_all"))
     low = roots.join(of, "root").select(F.col("node").alias("fp"), "of_all")
     return reps.join(low, "fp", "left").select(F.col("fp").alias(name), "first_id", F.coalesce("of_all", "first_id").alias("component_id"), "n")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunklake.llm import bpe, contamination, lines, quality, simhash
+from chunklake.llm import bpe, contamination, lines, nearcopies, quality
 from chunklake.llm.common import table, written
 
 
@@ -24,8 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
-    return simhash.near_dedup(docs)
+    """Of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) the document of the smallest id stays."""
+    return nearcopies.near_dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
