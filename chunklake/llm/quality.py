@@ -25,13 +25,13 @@ WORDS_AT_ONCE = 300_000
 
 @dataclass(frozen=True)
 class Limits:
-    """Production limits. A text fails if it has under `min_words` words, over `repeat_words_pct` percent of its words in repeated 3-word windows, or repeats of `repeat_len` words or more that cover over `max_covered` of its words, or one repeat over `max_longest` of its words."""
+    """Production limits. A text fails if it has under `min_words` words, over `repeat_words_pct` percent of its words in repeated 3-word windows, or repeats of `repeat_len` words or more that cover over `max_covered` of its words, or one repeat, its places apart from each other, over `max_longest` of its words. Both lie well below what the 3-word windows imply."""
 
     min_words: int = 50
     repeat_words_pct: int = 50
     repeat_len: int = 10
-    max_covered: float = 0.45
-    max_longest: float = 0.25
+    max_covered: float = 0.25
+    max_longest: float = 0.15
 
 
 class Repeats:
@@ -81,6 +81,10 @@ class Repeats:
             common += (fits & (levels[k][x] == levels[k][y])).astype(np.int64) << k
         np.maximum.at(self.longest, a, common)
         np.maximum.at(self.longest, b, common)
+        self.order = order
+        #: next_common[k]: how many words the suffixes at places k - 1 and k of the order have in common.
+        self.next_common = np.zeros(n, np.int64)
+        self.next_common[1:][same] = common
 
     @staticmethod
     def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,15 +103,34 @@ class Repeats:
         inside = np.maximum.accumulate(reach) > np.arange(len(reach))
         return np.add.reduceat(inside.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
+    def apart(self, first: np.ndarray) -> np.ndarray:
+        """For each text, the most words of a run that occurs at two places that don't overlap: by halving, for all texts at once."""
+        n = len(self.order)
+        low = np.zeros(len(first), np.int64)
+        # Texts come one after the other in the order of suffixes too.
+        high = np.minimum(np.maximum.reduceat(self.longest, first), np.diff(np.append(first, n)) // 2).astype(np.int64)
+        text = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            new = self.next_common < middle[text]
+            new[first] = True
+            starts = np.flatnonzero(new)
+            wide = np.maximum.reduceat(self.order, starts) - np.minimum.reduceat(self.order, starts)
+            fits = np.zeros(len(first), bool)
+            fits[text[starts[wide >= middle[text[starts]]]]] = True
+            fits |= low == high
+            low, high = np.where(fits, middle, low), np.where(fits, high, middle - 1)
+        return low
+
 
 #: The columns that measure() adds: name and type.
-MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, covered_words bigint, longest_repeat bigint"
+MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, covered_words bigint, longest_repeat bigint, longest_apart bigint"
 
 
 def measures(texts: list[str | None], repeat_len: int) -> list[np.ndarray]:
-    """For each text, the seven measures of MEASURES; texts share suffix arrays but no repeats."""
+    """For each text, the eight measures of MEASURES; texts share suffix arrays but no repeats."""
     plain = np.zeros((4, len(texts)), np.int64)
-    found = np.zeros((3, len(texts)), np.int64)
+    found = np.zeros((4, len(texts)), np.int64)
     number: dict[bytes, int] = {}
     ids: list[int] = []
     sizes: list[tuple[int, int]] = []
@@ -121,6 +144,7 @@ def measures(texts: list[str | None], repeat_len: int) -> list[np.ndarray]:
             found[0, at] = r.covered(3, first)
             found[1, at] = r.covered(repeat_len, first)
             found[2, at] = np.maximum.reduceat(r.longest, first)
+            found[3, at] = r.apart(first)
         ids.clear()
         sizes.clear()
         number.clear()
@@ -164,7 +188,7 @@ def verdicts(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id",
     """
     out = with_measures(docs.select(F.col(id_col), F.col(text_col)), limits.repeat_len, text_col).drop(text_col)
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.repeat_words_pct * F.col("n_words"))
-    fine = (F.col("covered_words") <= limits.max_covered * F.col("n_words")) & (F.col("longest_repeat") <= limits.max_longest * F.col("n_words"))
+    fine = (F.col("covered_words") <= limits.max_covered * F.col("n_words")) & (F.col("longest_apart") <= limits.max_longest * F.col("n_words"))
     return out.select("*", failed.alias("base_failed"), (~failed & fine).alias("kept"))
 
 
