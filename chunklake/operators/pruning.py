@@ -17,7 +17,7 @@ MODES = ("none", "minmax", "hist", "bloom", "combined")
 
 @dataclass(frozen=True)
 class Range:
-    """A column between two values, both included; equal ends make it a point."""
+    """A column between two values, both included; equal ends make it a point. None: no end on that side."""
 
     column: str
     low: object
@@ -33,7 +33,10 @@ class Points:
 
 
 def minmax_check(c: str, low, high) -> Column:
-    return F.coalesce((F.col(f"{c}_min") <= F.lit(high)) & (F.col(f"{c}_max") >= F.lit(low)), F.lit(False))
+    # A chunk of nulls alone has neither, and no row that passes.
+    above = F.lit(True) if high is None else F.col(f"{c}_min") <= F.lit(high)
+    below = F.lit(True) if low is None else F.col(f"{c}_max") >= F.lit(low)
+    return F.coalesce(F.col(f"{c}_min").isNotNull() & above & below, F.lit(False))
 
 
 def hist_check(c: str, low, high, kind: T.DataType, buckets: int) -> Column:
@@ -41,7 +44,7 @@ def hist_check(c: str, low, high, kind: T.DataType, buckets: int) -> Column:
     mn, mx = numeric(F.col(f"{c}_min"), kind), numeric(F.col(f"{c}_max"), kind)
     if mn is None:
         return minmax_check(c, low, high)
-    lo, hi = (F.least(F.greatest(numeric(F.lit(x).cast(kind), kind), mn), mx) for x in (low, high))
+    lo, hi = (end if x is None else F.least(F.greatest(numeric(F.lit(x).cast(kind), kind), mn), mx) for x, end in ((low, mn), (high, mx)))
     first, last = bucket(lo, mn, mx, buckets), bucket(hi, mn, mx, buckets)
     some = F.exists(F.slice(F.col(f"{c}_hist"), (first + 1).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int")), lambda n: n > 0)
     return minmax_check(c, low, high) & F.coalesce(some, F.lit(False))
@@ -62,9 +65,10 @@ def check(predicate: Range | Points, mode: str, kind: T.DataType, buckets: int =
     c = predicate.column
     ranges = [(predicate.low, predicate.high)] if isinstance(predicate, Range) else [(v, v) for v in predicate.values]
     points = list(predicate.values) if isinstance(predicate, Points) else None
-    if points is None and predicate.low == predicate.high:
+    closed = points is None and predicate.low is not None and predicate.high is not None
+    if closed and predicate.low == predicate.high:
         points = [predicate.low]
-    if points is None and isinstance(kind, T.IntegralType) and predicate.high - predicate.low < 16:
+    if closed and points is None and isinstance(kind, T.IntegralType) and predicate.high - predicate.low < 16:
         points = list(range(predicate.low, predicate.high + 1))
     found = []
     if mode in ("minmax", "combined"):

@@ -97,10 +97,15 @@ for _mode in ("minmax", "hist", "bloom", "combined"):
         QUERIES[f"prune_q3_{_k}_{_mode}"], ORACLE_SQL[f"prune_q3_{_k}_{_mode}"] = pruned_q3(_k, _mode), SSB_SQL[f"ssb_q3_{_k}"]
 
 
+def _kept_lines(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    """The lines of the chunks that may hold a line of the order-table query 1, which has no first day."""
+    data = by_key(table(spark, d, "lineitem").withColumn("l_day", F.col("l_shipdate").cast("date")), "l_orderkey")
+    return pruned(data, [Range("l_day", None, "1998-09-02")], mode)[2]
+
+
 def _pruned_lines(spark: SparkSession, d: str, mode: str) -> DataFrame:
     """The order-table query 1's filter on pruned chunks, as a count."""
-    data = by_key(table(spark, d, "lineitem").withColumn("l_day", F.col("l_shipdate").cast("date")), "l_orderkey")
-    rows = pruned(data, [Range("l_day", "1995-01-01", "1998-09-02")], mode)[2]
+    rows = _kept_lines(spark, d, mode)
     return rows.where("l_day <= date'1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -113,6 +118,8 @@ def _pruned_trips(spark: SparkSession, d: str, mode: str) -> DataFrame:
 for _mode in ("minmax", "hist"):
     QUERIES[f"prune_tpch_q1_{_mode}"] = lambda s, d, m=_mode: _pruned_lines(s, d, m)
     ORACLE_SQL[f"prune_tpch_q1_{_mode}"] = "select l_returnflag, l_linestatus, count(*) as n from lineitem where cast(l_shipdate as date) <= date '1998-09-02' group by 1, 2"
+    QUERIES[f"prune_tpch_q1_sums_{_mode}"] = lambda s, d, m=_mode: tpch.q1_of(_kept_lines(s, d, m))
+    ORACLE_SQL[f"prune_tpch_q1_sums_{_mode}"] = tpch.ORACLE_SQL["tpch_q1"]
     QUERIES[f"prune_trips_q1_{_mode}"] = lambda s, d, m=_mode: _pruned_trips(s, d, m)
     ORACLE_SQL[f"prune_trips_q1_{_mode}"] = trip_queries.ORACLE_SQL["trips_q1_1"]
 

@@ -17,7 +17,12 @@ def _day(text: str) -> Column:
 
 def q1(spark: SparkSession, d: str) -> DataFrame:
     """Sums by flag and status, exact: cents, 1/10000 and 1/1000000 of the unit as whole numbers, divided once at the end."""
-    line = where(table(spark, d, "lineitem"), at_most("l_shipdate", _day("1998-12-01") - F.expr("interval 90 days")))
+    return q1_of(table(spark, d, "lineitem"))
+
+
+def q1_of(lines: DataFrame) -> DataFrame:
+    """Query 1 over some lines."""
+    line = where(lines, at_most("l_shipdate", _day("1998-12-01") - F.expr("interval 90 days")))
     price, off, tax, qty = cents(F.col("l_extendedprice")), cents(F.col("l_discount")), cents(F.col("l_tax")), F.col("l_quantity").cast("bigint")
     out = grouped(line, ["l_returnflag", "l_linestatus"], q=F.sum(qty), p=F.sum(price), dp=F.sum(price * (100 - off)), ch=F.sum(price * (100 - off) * (100 + tax)), di=F.sum(off), count_order=F.count(F.lit(1)))
     n = F.col("count_order")
