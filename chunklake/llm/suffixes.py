@@ -194,6 +194,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             id_type = batch.schema.field(0).type.value_type.field("id").type
             for g in batch.column(0).to_pylist():
+                # Rows that share id and text are one document: what they bring is in order, side by side, and counts once.
+                g = [x for k, x in enumerate(g) if not k or any(x[c] != g[k - 1][c] for c in ("id", "th", "lo"))]
                 groups.append(g)
                 n += len(g)
                 if n >= COLLECTION:
