@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,6 +45,27 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text: two hashes with different seeds. Null has a key of its own."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))
+
+
+def same_key(a: DataFrame, b: DataFrame, *names: str) -> Column:
+    """Whether rows of two tables agree in some columns; nulls agree with each other."""
+    return reduce(and_, (a[n].eqNullSafe(b[n]) if n == "id" else a[n] == b[n] for n in names))
+
+
+def positional(df: DataFrame, **more: Column) -> DataFrame:
+    """`df` with its columns named c0, c1, .., and columns of the operator's own beside them: whatever the caller's are called, none clashes."""
+    return df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)), *(x.alias(k) for k, x in more.items()))
+
+
+def restored(df: DataFrame, names: list[str], changed: dict[str, Column] | None = None, **more: Column) -> DataFrame:
+    """The caller's columns of positional() under their own names, some of them replaced; then `more`."""
+    changed = changed or {}
+    return df.select(*(changed.get(c, F.col(f"c{i}")).alias(c) for i, c in enumerate(names)), *(x.alias(k) for k, x in more.items()))
+
+
 def lower_ascii(c):
     """A-Z in lower case; every other character stays."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
-from .urls import KEYS_PER_BLOCK, MAX_BLOCKS, blocked_bloom, mark, may_contain
+from .common import positional, restored, same_key, table, text_key, written
+from .urls import blocked_bloom, filter_blocks, mark, may_contain
 
 WORDS = 5
 CONTAINMENT_PCT = 80
@@ -34,21 +34,17 @@ def _text(*parts: Column) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def _blocks(n: int) -> int:
-    return min(MAX_BLOCKS, max(1, 1 << (n // KEYS_PER_BLOCK).bit_length()))
-
-
 def contained(docs: DataFrame, items: DataFrame, pct: int = CONTAINMENT_PCT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of a document and an item of which it contains at least `pct` percent of the distinct shingles: id, text_hash, item, n_shingles, n_found.
 
     An item of fewer words than a shingle is one shingle of all its words; one without words never matches. Null texts
-    are empty. Rows of `docs` that share id and text are one document (text_hash tells texts of one id apart); so are
-    rows of `items` that share an id, whose shingles count together. Null ids are ids like any other. Other columns
-    aren't read. The driver learns which shingle lengths there are (five at most) and counts.
+    are empty. Rows of `docs` that share id and text are one document (text_hash, a key of 128 bits, tells texts of one id
+    apart); so are rows of `items` that share an id, whose shingles count together. Null ids are ids like any other. Other
+    columns aren't read, so their names don't matter. No items, or no documents: no pairs. The driver learns which shingle lengths there are (five at most) and counts.
     """
-    item = items.select(F.col(item_col).alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0).withColumn("k", F.least(F.size("w"), F.lit(WORDS)))
+    item = items.select(F.col(f"`{item_col}`").alias("item"), words(F.col(f"`{item_text}`")).alias("w")).where(F.size("w") > 0).withColumn("k", F.least(F.size("w"), F.lit(WORDS)))
     ks = [r[0] for r in item.select("k").distinct().collect()]
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("t"))
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), text_key(F.col(f"`{text_col}`")).alias("text_hash"), F.col(f"`{text_col}`").alias("t"))
     if not ks:
         return own.select(F.col("id").alias(id_col), "text_hash", F.lit(None).cast(items.schema[item_col].dataType).alias(item_col), F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_found")).limit(0)
 
@@ -74,9 +70,9 @@ def contained(docs: DataFrame, items: DataFrame, pct: int = CONTAINMENT_PCT, id_
         "sketch",
     )
     n_keys = sketch.count()
-    bloom = written(blocked_bloom(sketch.select("h").distinct(), "h", _blocks(n_keys)), "bloom")
+    bloom = written(blocked_bloom(sketch.select("h").distinct(), "h", filter_blocks(n_keys)), "bloom")
     tokens = own.select("id", "text_hash", words(F.col("t")).alias("w"))
-    probed = may_contain(exploded(tokens, F.xxhash64, "h", ["id", "text_hash"]), "h", bloom, _blocks(n_keys))
+    probed = may_contain(exploded(tokens, F.xxhash64, "h", ["id", "text_hash"]), "h", bloom, filter_blocks(n_keys))
     found = probed.join(sketch, "h").groupBy("id", "text_hash", "item", "n", "need").agg(F.count(F.lit(1)).alias("hits"))
     pairs = written(found.where("hits >= need").select("id", "text_hash", "item", "n"), "candidates")
 
@@ -84,7 +80,7 @@ def contained(docs: DataFrame, items: DataFrame, pct: int = CONTAINMENT_PCT, id_
     keyed = own.withColumn("key", F.xxhash64("id", "text_hash"))
     several = pairs.select(F.xxhash64("id", "text_hash").alias("key")).distinct()
     n_docs = several.count()
-    of_pairs = may_contain(keyed, "key", written(blocked_bloom(several, "key", _blocks(n_docs)), "bloom"), _blocks(n_docs))
+    of_pairs = may_contain(keyed, "key", written(blocked_bloom(several, "key", filter_blocks(n_docs)), "bloom"), filter_blocks(n_docs))
     texts = exploded(of_pairs.select("id", "text_hash", words(F.col("t")).alias("w")), _text, "s", ["id", "text_hash"]).join(every.select("item", "s"), "s")
     counted = texts.groupBy("id", "text_hash", "item").agg(F.count_distinct("s").alias("n_found"))
     a, b = pairs.alias("a"), counted.alias("b")
@@ -93,13 +89,19 @@ def contained(docs: DataFrame, items: DataFrame, pct: int = CONTAINMENT_PCT, id_
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, pct: int = CONTAINMENT_PCT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the documents that contain an item; columns as they are. Only documents that a filter of bounded size may hold move, to meet the found ones in a join that decides."""
-    found = written(contained(docs, items, pct, id_col, text_col).select(F.xxhash64(F.col(id_col), "text_hash").alias("_key")).distinct(), "found")
-    blocks = _blocks(found.count())
-    bloom = written(blocked_bloom(found, "_key", blocks), "bloom")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))))
-    marked = mark(keyed, "_key", bloom, blocks, "_may")
-    return marked.where("not _may").drop("_key", "_may").unionByName(marked.where("_may").join(found, "_key", "left_anti").drop("_key", "_may"))
+    """`docs` without the documents that contain an item (see contained()); columns as they are, whatever their names.
+
+    Rows that share id and text go or stay together; null and empty texts stay. Only
+    documents that a filter of bounded size may hold move, to meet the found ones in a join that decides. No items: all
+    stay. An empty table gives an empty table.
+    """
+    found = written(contained(docs, items, pct, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.col("text_hash").alias("th")).distinct(), "found")
+    blocks = filter_blocks(found.count())
+    bloom = written(blocked_bloom(found.select(F.xxhash64("id", "th").alias("key")), "key", blocks), "bloom")
+    own = positional(docs, id=F.col(f"`{id_col}`"), th=text_key(F.col(f"`{text_col}`")))
+    marked = mark(own.withColumn("key", F.xxhash64("id", "th")), "key", bloom, blocks)
+    some = marked.where("may")
+    return restored(marked.where("not may").unionByName(some.join(found, same_key(some, found, "id", "th"), "left_anti")), docs.columns)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,10 +40,15 @@ def blocked_bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     return keys.select(block.alias("block"), *(w.alias(f"w{i}") for i, w in enumerate(words))).groupBy("block").agg(*(F.expr(f"bit_or(w{i})").alias(f"w{i}") for i in range(4)))
 
 
-def mark(df: DataFrame, key: str, bloom: DataFrame, blocks: int, name: str) -> DataFrame:
-    """`df` and a column that is false for rows whose key is certainly not in the filter."""
-    block, words = _spot(F.col(key), blocks)
-    probed = df.withColumn("_block", block).join(F.broadcast(bloom.withColumnRenamed("block", "_block")), "_block", "left")
+def filter_blocks(n: int) -> int:
+    """Blocks for n keys."""
+    return min(MAX_BLOCKS, max(1, 1 << (n // KEYS_PER_BLOCK).bit_length()))
+
+
+def mark(df: DataFrame, key: str, bloom: DataFrame, blocks: int, name: str = "may") -> DataFrame:
+    """`df` and a column `name` that is false for rows whose key is certainly not in the filter. `df` is an operator's own table, whose columns aren't called w0 .. w3 or spot."""
+    at, words = _spot(F.col(key), blocks)
+    probed = df.withColumn("spot", at).join(F.broadcast(bloom.withColumnRenamed("block", "spot")), "spot", "left")
     held = F.lit(True)
     for i, w in enumerate(words):
         held = held & (F.col(f"w{i}").bitwiseAND(w) == w)
@@ -52,7 +57,7 @@ def mark(df: DataFrame, key: str, bloom: DataFrame, blocks: int, name: str) -> D
 
 def may_contain(df: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
     """The rows of `df` whose key may be in the filter: all that are, and some others."""
-    return mark(df, key, bloom, blocks, "_held").where("_held").drop("_held")
+    return mark(df, key, bloom, blocks).where("may").drop("may")
 
 
 def url_verdicts(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -74,7 +79,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", i
     own = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     if not n:
         return own.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(otherwise)})
-    blocks = min(MAX_BLOCKS, max(1, 1 << (n // KEYS_PER_BLOCK).bit_length()))
+    blocks = filter_blocks(n)
     listed = rules.select(F.concat_ws("\n", "host", "path").alias("key"), F.concat("host", "path").alias("rule"), F.length("host").alias("host_length"), "verdict")
     bloom = blocked_bloom(listed, "key", blocks)
 
