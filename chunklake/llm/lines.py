@@ -8,8 +8,8 @@ and the first floor((1-t)·|x|) + 1 of x. Postings of these prefixes meet by wor
 filter, the positional filter and a signature of parities (a word that only one of them has changes one bit at most). What
 passes is verified on the lines' words. A line that is similar to an earlier one goes.
 
-Groups of copies never meet pair by pair: equal lines count once; then each set meets the earliest sets that have one of its
-rarest words, and what these settle meets, by common words, only sets that they don't settle.
+Groups of copies never meet pair by pair: equal lines count once; then each set meets the earliest sets that have one of
+its words, and what these settle meets, by common words, only sets that they don't settle.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ HASH_BITS = 56
 WIDE = 64
 #: Sets of more words are compared by their prefixes, too, before their words are read.
 LONG = 128
-#: Words of a set by which it meets the earliest sets.
-LEAD_WORDS = 4
+#: Words of a set by which it meets the earliest sets, at even distances in its prefix: the rarest ones tell two copies apart, the later ones are what a large group of them shares.
+LEAD_WORDS = 5
 #: Rarity from which on a word is common: 256 occurrences.
 COMMON = 24
 #: Parts of the postings that meet one after the other, so that shuffles take less disk at a time.
@@ -80,9 +80,10 @@ def _codes(line: Column, steps: Column, places: int) -> Column:
     return F.sort_array(F.transform(hashes, code))
 
 
-def _parity(codes: Column, half: int) -> Column:
-    """64 bits: which of 64 kinds of words are odd in number, of those words with the bit `half` above."""
-    bit = lambda w: _shift(F.shiftright(w, 6).bitwiseAND(1).bitwiseXOR(1 - half), w.bitwiseAND(63).cast("int"))
+def _parity(codes: Column, half: int | None = None) -> Column:
+    """64 bits: which of 64 kinds of words are odd in number; with `half`, of those words with that bit above."""
+    one = lambda w: F.lit(1).cast("bigint") if half is None else F.shiftright(w, 6).bitwiseAND(1).bitwiseXOR(1 - half)
+    bit = lambda w: _shift(one(w), w.bitwiseAND(63).cast("int"))
     return F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(bit(w)))
 
 
@@ -136,12 +137,13 @@ def _narrowed(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
 
 
 def _led(sets: DataFrame, pct: int) -> DataFrame:
-    """Pairs (x, y): each set y and the earliest ones (of even and of odd number) that have one of its rarest words that occur twice."""
-    shared = F.slice(F.filter("head", lambda w: w >= 1 << HASH_BITS), 1, LEAD_WORDS)
-    rows = sets.select(F.explode(shared).alias("w"), F.col("r").alias("yr"), F.col("n").alias("yn"), F.col("s").alias("ys"), F.col("t").alias("yt"))
-    one = lambda k: F.min(F.when(F.col("yr") % 2 == k, F.struct("yr", "yn", "ys", "yt")))
-    firsts = rows.groupBy("w").agg(one(0).alias("even"), one(1).alias("odd"))
-    met = rows.join(firsts, "w").select("yr", "yn", "ys", "yt", F.explode(F.array("even", "odd")).alias("x"))
+    """Pairs (x, y): each set y, and of those that have one of its words (some of its prefix's that occur twice) the earliest of even and of odd number and the one of most copies, if they are before it."""
+    shared = F.filter("head", lambda w: w >= 1 << HASH_BITS)
+    shared = F.array_distinct(F.transform(F.array(*map(F.lit, range(1, LEAD_WORDS + 1))), lambda i: F.get(shared, F.ceil(i * F.size(shared) / LEAD_WORDS).cast("int") - 1)))
+    rows = sets.select(F.explode(shared).alias("w"), F.col("r").alias("yr"), F.col("n").alias("yn"), F.col("s").alias("ys"), F.col("t").alias("yt"), "copies").where("w is not null")
+    one = F.struct("yr", "yn", "ys", "yt")
+    firsts = rows.groupBy("w").agg(*(F.min(F.when(F.col("yr") % 2 == k, one)).alias(f"x{k}") for k in (0, 1)), F.max(F.struct("copies", (-F.col("yr")).alias("back"), one.alias("x"))).alias("most"))
+    met = rows.join(firsts, "w").select("yr", "yn", "ys", "yt", F.explode(F.array("x0", "x1", "most.x")).alias("x"))
     met = met.select("yr", "yn", "ys", "yt", *(F.col(f"x.y{k}").alias(f"x{k}") for k in "rnst"))
     return met.where((F.col("xr") < F.col("yr")) & _alike(pct, "x", "y")).select(F.col("xr").alias("x"), F.col("yr").alias("y")).distinct()
 
@@ -187,8 +189,7 @@ def repeated(docs: DataFrame, pct: int = SIMILAR_PCT, id_col: str = "doc_id", te
     coded = _lines(docs).where(F.col("line").rlike("[^ ]")).withColumn("steps", order.scalar())
     coded = coded.select("id", "th", "pos", text_key(F.col("line")).alias("lk"), _codes(F.col("line"), F.col("steps"), order._places).alias("c"))
     n = F.size("c")
-    even, odd = _parity(F.col("c"), 0), _parity(F.col("c"), 1)
-    signs = [F.when(n > WIDE, even).otherwise(even.bitwiseXOR(odd)).alias("s"), F.when(n > WIDE, odd).otherwise(F.lit(0)).alias("t")]
+    signs = [F.when(n > WIDE, _parity(F.col("c"), 0)).otherwise(_parity(F.col("c"))).alias("s"), F.when(n > WIDE, _parity(F.col("c"), 1)).otherwise(F.lit(0)).alias("t")]
     head = F.slice("c", 1, (n * (100 - pct) / 100 + 1e-9).cast("int") + 1)
     lines = written(coded.select("id", "th", "pos", "lk", n.alias("n"), *signs, head.alias("head")), "lines")
 
