@@ -1,10 +1,11 @@
-"""Near copies by shared shingles: the pipeline's near-duplicate stage.
-
-Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. No radius of a
-fingerprint implies that, so pairs are found by the sets themselves, exactly: in any common order of shingles, texts that
-are so similar share one of the first n - ceil(0.8 n) + 1 of each (n: the set's size). Shingles of one text alone come
-first in the order, so that only texts made up of others' shingles, for the most part, are candidates. Candidates that
-reach each other meet in one task, which compares whole sets.
+"""Operator 5 at a Jaccard similarity: the pipeline's near-duplicate stage.
+
+Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. SimHash alone can't find
+that: at 0.8, two fingerprints differ in 9.7 of 64 bits on average, and no radius that a pigeonhole can probe reaches all
+such pairs. So fingerprints group what is nearly equal (generalised pigeonhole, simhash.links), each group's members are
+verified against its first, and what is linked by then is one class. Pairs of different classes come from the sets, without
+a gap: in the order of their hashes, sets that are so similar share one of the first floor(0.2 n) + 1 shingles, of the
+shorter set one of the first floor(n / 9) + 1 (n: the set's size). All candidates are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -16,15 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, positional, restored, same_key, text_key, written
 from .components import components
-from .simhash import SEED, classes
-from .suffixes import Filter
+from .simhash import SEED, links
+from .urls import blocked_bloom, filter_blocks, mark, may_contain
 
 #: Words in a shingle.
 WORDS = 5
-#: Shingles that are sent on at once.
-BLOCK = 1 << 20
+SIMILAR_PCT = 80
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -42,108 +42,116 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((digest(whole[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, n))
 
 
-def with_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each row of `docs`: id, th (hash of the text), key (hash of its set), grams (the set: sorted 64-bit hashes)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    """Arrays of hashes as lists of longs, without the lowest bit, so that they are positive and keep their order."""
+    at = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array((flat >> np.uint64(1)).view(np.int64)))
 
-        for batch in batches:
-            sets = [shingles(x).tobytes() for x in batch.column(2).to_pylist()]
-            keys = np.fromiter(map(xxhash.xxh64_intdigest, sets), np.uint64, len(sets)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys), pa.array(sets, pa.binary())], names=["id", "th", "key", "grams"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col)).mapInArrow(run, f"id {kind}, th bigint, key bigint, grams binary")
+def _fingerprint(h: np.ndarray) -> int:
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * bits > len(h)).tobytes(), "big", signed=True)
 
 
-def _rows(chosen):
-    """A function for mapInArrow: (key, grams) to rows (h, key) of the shingles that `chosen` leaves of each set."""
+def with_sets(docs: DataFrame, pct: int) -> DataFrame:
+    """Of (id, text): id, th (the text's key), key (128 bits of its set), n (the set's size), fp (its SimHash), head (the prefix of its hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, keys, n = [], [], 0
-        for batch in batches:
-            for key, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = chosen(np.frombuffer(grams, np.uint64))
-                hs.append(h)
-                keys.append(np.full(len(h), key, np.int64))
-                n += len(h)
-                if n >= BLOCK:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(keys))], names=["h", "key"])
-                    hs, keys, n = [], [], 0
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(keys))], names=["h", "key"])
-
-    return run
-
-
-def prefix(grams: np.ndarray, several: Filter) -> np.ndarray:
-    """What of a set's first shingles others may share."""
-    n = len(grams)
-    held = several.may_hold(grams)
-    left = n - (4 * n + 4) // 5 + 1 - int(n - np.count_nonzero(held))
-    return grams[held][: max(0, left)]
-
-
-def local_links(keys: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect just the sets that links of Jaccard 0.8 or more connect: a search from one set after another, over those that none has reached yet."""
-    sizes = np.array([len(x) for x in sets], np.int64)
-    _, number = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.cumsum(sizes) - sizes
-    mark = np.zeros(int(number.max(initial=0)) + 1, bool)
-    own = [number[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-    us, vs = [], []
-    # The sets that are left, one after the other.
-    left, flat = np.arange(len(sets)), number
-    while len(left):
-        root = int(left[0])
-        queue, new = [root], np.array([0])
-        while True:
-            stay = np.ones(len(left), bool)
-            stay[new] = False
-            flat, left = flat[np.repeat(stay, sizes[left])], left[stay]
-            if not queue or not len(left):
-                break
-            at = queue.pop()
-            mark[own[at]] = True
-            both = np.add.reduceat(mark[flat].astype(np.int64), np.cumsum(sizes[left]) - sizes[left])
-            mark[own[at]] = False
-            new = np.flatnonzero(5 * both >= 4 * (sizes[left] + sizes[at] - both))
-            queue += left[new].tolist()
-            us += keys[left[new]].tolist()
-            vs += [int(keys[root])] * len(new)
-    return np.array(us, np.int64), np.array(vs, np.int64)
-
-
-def links(sets: DataFrame) -> DataFrame:
-    """Edges (u, v) of keys that connect just what links of Jaccard 0.8 or more connect."""
-    base = sets.select("key", "grams")
-    counted = base.mapInArrow(_rows(lambda h: h), "h bigint, key bigint").groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b"))
-    several = Filter(written(counted.where("a <> b").select("h"), "shared"), "h")
-    rows = written(base.mapInArrow(_rows(lambda h: prefix(h, several)), "h bigint, key bigint"), "prefixes")
-    # A star for each shingle: whoever shares one is in one group.
-    least = rows.groupBy("h").agg(F.min("key").alias("v"), F.max("key").alias("most")).where("v <> most").select("h", "v")
-    groups = written(components(rows.join(least, "h").select(F.col("key").alias("u"), "v")), "groups")
-    met = base.join(groups, base["key"] == groups["node"]).groupBy("root", "key").agg(F.first("grams").alias("grams"))
+        import xxhash
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for members in batch.column(0):
-                rows = members.as_py()
-                u, v = local_links(np.array([x["key"] for x in rows], np.int64), [np.frombuffer(x["grams"], np.uint64) for x in rows])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            sets = [shingles(x) for x in batch.column(2).to_pylist()]
+            heads = [x[: len(x) * (100 - pct) // 100 + 1] for x in sets]
+            cols = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([_fingerprint(x) if len(x) else 0 for x in sets], pa.int64()), _lists(heads)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["id", "th", "key", "n", "fp", "head"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", text_key(F.col("text")).alias("th"), "text").mapInArrow(run, f"id {kind}, th struct<a:bigint,b:bigint>, key binary, n bigint, fp bigint, head array<bigint>")
 
-    return met.groupBy("root").agg(F.collect_list(F.struct("key", "grams")).alias("g")).select("g").mapInArrow(run, "u bigint, v bigint")
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """Of (r, text): r, grams (the whole set)."""
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingles(x) for x in batch.column(1).to_pylist()])], names=["r", "grams"])
+
+    return docs.select("r", "text").mapInArrow(run, "r bigint, grams array<bigint>")
+
+
+def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, pct: int) -> DataFrame:
+    """The pairs (u, v) of numbers of sets that are similar. Prefixes, as far as both reach, tell most others apart; then texts that pairs still name are read again, found by a filter of bounded size."""
+    head = lambda k: sets.select(F.col("r").alias(k), F.col("n").alias(f"{k}n"), F.col("head").alias(f"{k}head"))
+    both = pairs.join(head("u"), "u").join(head("v"), "v")
+    end = F.least(F.element_at("uhead", -1), F.element_at("vhead", -1))
+    upto = lambda x: F.size(F.filter(x, lambda h: h <= end))
+    apart = upto("uhead") + upto("vhead") - 2 * F.size(F.array_intersect("uhead", "vhead"))
+    left = written(both.where((100 + pct) * apart <= (100 - pct) * (F.col("un") + F.col("vn"))).select("u", "v"), "candidates")
+    named = written(left.select(F.explode(F.array("u", "v")).alias("r")).distinct().join(sets.select("r", "p.id", "p.th"), "r"), "named")
+    blocks = filter_blocks(named.count())
+    bloom = written(blocked_bloom(named.select(F.xxhash64("id", "th").alias("key")), "key", blocks), "bloom")
+    keyed = docs.select("id", text_key(F.col("text")).alias("th"), "text")
+    some = may_contain(keyed.withColumn("key", F.xxhash64("id", "th")), "key", bloom, blocks)
+    texts = some.join(named, same_key(some, named, "id", "th")).select("r", "text").dropDuplicates(["r"])
+    whole = written(_whole(texts), "whole")
+    common = F.size(F.array_intersect("a", "b"))
+    met = left.join(whole.select(F.col("r").alias("u"), F.col("grams").alias("a")), "u").join(whole.select(F.col("r").alias("v"), F.col("grams").alias("b")), "v")
+    out = written(met.where(100 * common >= pct * (F.size("a") + F.size("b") - common)).select("u", "v"), "linked")
+    for t in (named, bloom, whole, left):
+        discard(t)
+    return out
+
+
+def _labelled(sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """`sets` and label: the smallest number that edges reach."""
+    roots = components(edges).select(F.col("node").alias("r"), F.col("root").alias("to"))
+    return sets.join(roots, "r", "left").withColumn("label", F.coalesce("to", "r")).drop("to")
+
+
+def _apart(sets: DataFrame, pct: int) -> DataFrame:
+    """Pairs (u, v) of sets of different labels that share a shingle of their prefixes, as far as lengths and places allow that they are similar. Shingles that one label alone has are left out before anything meets."""
+    rows = sets.select("r", "n", "label", F.posexplode("head").alias("at", "h"))
+    several = rows.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("h")
+    rows = written(rows.join(several, "h"), "postings")
+    # u is the shorter set.
+    u = rows.where((100 + pct) * F.col("at") <= (100 - pct) * F.col("n"))
+    u, v = (x.select("h", *(F.col(c).alias(f"{k}{c}") for c in ("r", "n", "label", "at"))) for k, x in (("u", u), ("v", rows)))
+    n = F.col("un") + F.col("vn")
+    shorter = (F.col("un") < F.col("vn")) | ((F.col("un") == F.col("vn")) & (F.col("ur") < F.col("vr")))
+    fits = (100 * F.col("un") >= pct * F.col("vn")) & ((100 + pct) * F.least(F.col("un") - F.col("uat"), F.col("vn") - F.col("vat")) >= pct * n)
+    return u.join(v, "h").where((F.col("ulabel") != F.col("vlabel")) & shorter & fits).select(F.col("ur").alias("u"), F.col("vr").alias("v")).distinct()
+
+
+def near_dedup(docs: DataFrame, pct: int = SIMILAR_PCT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without all but one document of each group that links connect: that of the smallest id stays (rows with null ids only where no other of the group has an id).
 
-    Null and empty texts, and texts of white space, have no shingle and are copies of each other. Sets are compared whole,
-    as 64-bit hashes of their shingles. Rows that share an id and a set are one document. The columns stay as they are; an
-    empty table gives an empty table. A task holds the sets of one group of candidates.
+    Null and empty texts, and texts of white space, have no shingle and are copies of each other. Equal sets are known by 128
+    bits of hash, others are compared whole, by 63 bits of each shingle's hash. Rows that share an id and are of one group
+    stay or go together. Other columns stay as they are, whatever their names; an empty table gives an empty table. Rows
+    that stay don't move, but for those that a filter can't tell from others.
     """
-    sets = written(with_sets(docs, id_col, text_col), "sets")
-    kept = classes(sets, "id", "key", lambda _: links(sets)).where(F.col("first_id").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("_of"), F.col("component_id").alias("_keep"))
-    stay = sets.select("id", "th", "key").join(kept, F.col("id").eqNullSafe(F.col("_keep")) & (F.col("key") == F.col("_of"))).select(F.col("id").alias("_keep"), F.col("th").alias("_th")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_keep"]) & (F.xxhash64(docs[text_col]) == stay["_th"]), "left_semi")
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    sets = written(with_sets(own, pct), "sets")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "th")
+    reps = sets.groupBy("key").agg(F.min(place).alias("p"), F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", "fp", "head")))
+    reps = written(reps.withColumn("r", F.monotonically_increasing_id()), "reps")
+    full = reps.where("n > 0")
+
+    near = written(components(links(full.select("fp").distinct())), "near")
+    grouped = full.select("r", "fp").join(near.select(F.col("node").alias("fp"), "root"), "fp", "left").select("r", F.coalesce("root", "fp").alias("root"))
+    firsts = grouped.groupBy("root").agg(F.min("r").alias("v"))
+    led = verified(own, full, grouped.join(firsts, "root").where("r <> v").select(F.col("r").alias("u"), "v"), pct)
+    labelled = written(_labelled(full.select("r", "n", "head"), led), "labelled")
+    edges = led.unionByName(verified(own, full, _apart(labelled, pct), pct))
+
+    grouped = _labelled(reps.select("r", "key", "first_id"), edges)
+    least = grouped.groupBy("label").agg(F.min("first_id").alias("keep"))
+    keep = grouped.join(least, "label").select("key", "keep")
+    gone = written(sets.select("id", "th", "key").join(keep, "key").where(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "th").distinct(), "gone")
+    blocks = filter_blocks(gone.count())
+    bloom = written(blocked_bloom(gone.select(F.xxhash64("id", "th").alias("key")), "key", blocks), "bloom")
+    rows = positional(docs, id=F.col(f"`{id_col}`"), th=text_key(F.col(f"`{text_col}`")))
+    marked = mark(rows.withColumn("key", F.xxhash64("id", "th")), "key", bloom, blocks)
+    some = marked.where("may")
+    return restored(marked.where("not may").unionByName(some.join(gone, same_key(some, gone, "id", "th"), "left_anti")), docs.columns)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import positional, restored, table, written
 from .components import components
 
 BITS = 64
@@ -219,11 +219,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without all but one document of each group: that of the smallest id stays (rows with null ids only where no other of the group has an id). Rows that share an id and a fingerprint are one document. The columns stay as they are."""
-    prints = written(with_fingerprints(docs.select(F.col(id_col), F.col(text_col)), text_col, "_print").drop(text_col), "fingerprints")
-    kept = classes(prints, id_col, "_print").where(F.col("first_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_keep"), F.col("_print").alias("_of"))
-    own = with_fingerprints(docs, text_col, "_print")
-    return own.join(kept, own[id_col].eqNullSafe(kept["_keep"]) & (own["_print"] == kept["_of"]), "left_semi").drop("_print")
+    """`docs` without all but one document of each group that links of fingerprints connect: that of the smallest id stays (rows with null ids only where no other of the group has an id).
+
+    Rows that share an id and are of one group stay or go together; of null, empty and equal texts see near_duplicates().
+    Other columns stay as they are, whatever their names; an empty table gives an empty table. nearcopies.near_dedup()
+    links by similarity instead.
+    """
+    rows = positional(docs, id=F.col(f"`{id_col}`"), text=F.col(f"`{text_col}`"))
+    prints = written(with_fingerprints(rows.select("id", "text"), "text").drop("text"), "fingerprints")
+    of = classes(prints, "id").select("fingerprint", "component_id")
+    kept = with_fingerprints(rows, "text").join(of, "fingerprint").where(F.col("id").eqNullSafe(F.col("component_id")))
+    return restored(kept, docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
