@@ -3,18 +3,21 @@
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. SimHash alone can't find
 that: at 0.8, two fingerprints differ in 9.7 of 64 bits on average, and no radius that a pigeonhole can probe reaches all
 such pairs. So fingerprints group what is nearly equal (generalised pigeonhole, simhash.links), each group's members are
-verified against its first, and what is linked by then is one class. Pairs of different classes come from the sets, without
-a gap: in the order of their hashes, sets that are so similar share one of the first floor(0.2 n) + 1 shingles, of the
-shorter set one of the first floor(n / 9) + 1 (n: the set's size). All candidates are verified on whole sets.
+verified against its first, and so is each set against the first one that shares most of its prefix; what is linked by then
+is one class. Pairs of different classes come from the sets, without a gap. A set's prefix is its 0.3 n smallest hashes (n:
+its size) and one more. Of two similar sets, the one whose prefix ends first has all but 1/9 of both sizes' sum, less the
+other's surplus, in the other's prefix; that is a tenth of its own size at least, so that sets made up of shingles of their
+own are out before anything meets. All candidates are verified on whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, positional, restored, same_key, text_key, written
@@ -25,6 +28,13 @@ from .urls import blocked_bloom, filter_blocks, mark, may_contain
 #: Words in a shingle.
 WORDS = 5
 SIMILAR_PCT = 80
+#: Parts of the prefixes that meet one after the other, so that shuffles take less disk at a time.
+PARTS = 4
+
+
+def _prefix(n, pct: int):
+    """Hashes in the prefix of a set of n: 0.3 n and one more, for 80 percent."""
+    return 3 * n * (100 - pct) // 200 + 1
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -62,7 +72,7 @@ def with_sets(docs: DataFrame, pct: int) -> DataFrame:
 
         for batch in batches:
             sets = [shingles(x) for x in batch.column(2).to_pylist()]
-            heads = [x[: len(x) * (100 - pct) // 100 + 1] for x in sets]
+            heads = [x[: _prefix(len(x), pct)] for x in sets]
             cols = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([_fingerprint(x) if len(x) else 0 for x in sets], pa.int64()), _lists(heads)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["id", "th", "key", "n", "fp", "head"])
 
@@ -81,13 +91,8 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, pct: int) -> DataFrame:
-    """The pairs (u, v) of numbers of sets that are similar. Prefixes, as far as both reach, tell most others apart; then texts that pairs still name are read again, found by a filter of bounded size."""
-    head = lambda k: sets.select(F.col("r").alias(k), F.col("n").alias(f"{k}n"), F.col("head").alias(f"{k}head"))
-    both = pairs.join(head("u"), "u").join(head("v"), "v")
-    end = F.least(F.element_at("uhead", -1), F.element_at("vhead", -1))
-    upto = lambda x: F.size(F.filter(x, lambda h: h <= end))
-    apart = upto("uhead") + upto("vhead") - 2 * F.size(F.array_intersect("uhead", "vhead"))
-    left = written(both.where((100 + pct) * apart <= (100 - pct) * (F.col("un") + F.col("vn"))).select("u", "v"), "candidates")
+    """The pairs (u, v) of numbers of sets that are similar. Only texts that pairs name are read again, found by a filter of bounded size."""
+    left = written(pairs.select("u", "v"), "candidates")
     named = written(left.select(F.explode(F.array("u", "v")).alias("r")).distinct().join(sets.select("r", "p.id", "p.th"), "r"), "named")
     blocks = filter_blocks(named.count())
     bloom = written(blocked_bloom(named.select(F.xxhash64("id", "th").alias("key")), "key", blocks), "bloom")
@@ -109,18 +114,42 @@ def _labelled(sets: DataFrame, edges: DataFrame) -> DataFrame:
     return sets.join(roots, "r", "left").withColumn("label", F.coalesce("to", "r")).drop("to")
 
 
-def _apart(sets: DataFrame, pct: int) -> DataFrame:
-    """Pairs (u, v) of sets of different labels that share a shingle of their prefixes, as far as lengths and places allow that they are similar. Shingles that one label alone has are left out before anything meets."""
-    rows = sets.select("r", "n", "label", F.posexplode("head").alias("at", "h"))
+def _enough(pct: int) -> Column:
+    """Whether so many of a set's prefix (`count` of `n`) are shared that it may be similar to another."""
+    return 200 * F.col("count") >= (100 - pct) * F.col("n")
+
+
+def _shared(sets: DataFrame, pct: int) -> DataFrame:
+    """Rows (h, r, n) of the prefixes' hashes that several sets have, of sets that share enough."""
+    parts = []
+    for k in range(PARTS):
+        rows = sets.select("r", "n", F.explode("head").alias("h")).where(F.pmod("h", F.lit(PARTS)) == k)
+        several = rows.groupBy("h").agg(F.min("r").alias("a"), F.max("r").alias("b")).where("a <> b").select("h")
+        parts.append(written(rows.join(several, "h"), "shared"))
+    every = reduce(DataFrame.unionByName, parts)
+    out = written(every.join(every.groupBy("r", "n").count().where(_enough(pct)).select("r"), "r"), "postings")
+    for t in parts:
+        discard(t)
+    return out
+
+
+def _led(rows: DataFrame, pct: int) -> DataFrame:
+    """Pairs (u, v): each set and, of the first ones that have some hash of its prefix, the one that has most."""
+    firsts = rows.groupBy("h").agg(F.min("r").alias("v"))
+    met = rows.join(firsts, "h").where("r <> v").groupBy("r", "n", "v").count().where(_enough(pct))
+    return met.groupBy(F.col("r").alias("u")).agg(F.max_by("v", F.struct("count", -F.col("v"))).alias("v"))
+
+
+def _apart(rows: DataFrame, pct: int) -> DataFrame:
+    """Pairs (u, v) of sets of different labels that share as many hashes of their prefixes as similar sets do. Hashes that one label alone has are left out before anything meets."""
     several = rows.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("h")
-    rows = written(rows.join(several, "h"), "postings")
-    # u is the shorter set.
-    u = rows.where((100 + pct) * F.col("at") <= (100 - pct) * F.col("n"))
-    u, v = (x.select("h", *(F.col(c).alias(f"{k}{c}") for c in ("r", "n", "label", "at"))) for k, x in (("u", u), ("v", rows)))
-    n = F.col("un") + F.col("vn")
+    rows = rows.join(several, "h")
+    u, v = (rows.select("h", *(F.col(c).alias(f"{k}{c}") for c in ("r", "n", "label"))) for k in "uv")
     shorter = (F.col("un") < F.col("vn")) | ((F.col("un") == F.col("vn")) & (F.col("ur") < F.col("vr")))
-    fits = (100 * F.col("un") >= pct * F.col("vn")) & ((100 + pct) * F.least(F.col("un") - F.col("uat"), F.col("vn") - F.col("vat")) >= pct * n)
-    return u.join(v, "h").where((F.col("ulabel") != F.col("vlabel")) & shorter & fits).select(F.col("ur").alias("u"), F.col("vr").alias("v")).distinct()
+    met = u.join(v, "h").where((F.col("ulabel") != F.col("vlabel")) & shorter & (100 * F.col("un") >= pct * F.col("vn"))).groupBy("ur", "un", "vr", "vn").count()
+    size = lambda c: F.call_function("div", 3 * F.col(c) * (100 - pct), F.lit(200).cast("bigint")) + 1
+    least = (100 + pct) * F.least(size("un") - F.col("un"), size("vn") - F.col("vn")) + pct * (F.col("un") + F.col("vn"))
+    return met.where((100 + pct) * F.col("count") >= least).select(F.col("ur").alias("u"), F.col("vr").alias("v"))
 
 
 def near_dedup(docs: DataFrame, pct: int = SIMILAR_PCT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,19 +165,22 @@ def near_dedup(docs: DataFrame, pct: int = SIMILAR_PCT, id_col: str = "doc_id",
     place = F.struct(F.col("id").isNull().alias("last"), "id", "th")
     reps = sets.groupBy("key").agg(F.min(place).alias("p"), F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", "fp", "head")))
     reps = written(reps.withColumn("r", F.monotonically_increasing_id()), "reps")
+    slim = written(sets.select("id", "th", "key"), "slim")
+    discard(sets)
     full = reps.where("n > 0")
 
     near = written(components(links(full.select("fp").distinct())), "near")
     grouped = full.select("r", "fp").join(near.select(F.col("node").alias("fp"), "root"), "fp", "left").select("r", F.coalesce("root", "fp").alias("root"))
     firsts = grouped.groupBy("root").agg(F.min("r").alias("v"))
-    led = verified(own, full, grouped.join(firsts, "root").where("r <> v").select(F.col("r").alias("u"), "v"), pct)
-    labelled = written(_labelled(full.select("r", "n", "head"), led), "labelled")
-    edges = led.unionByName(verified(own, full, _apart(labelled, pct), pct))
+    edges = verified(own, full, grouped.join(firsts, "root").where("r <> v").select(F.col("r").alias("u"), "v"), pct)
+    rows = _shared(full, pct)
+    edges = edges.unionByName(verified(own, full, _led(rows, pct), pct))
+    edges = edges.unionByName(verified(own, full, _apart(_labelled(rows, edges), pct), pct))
 
     grouped = _labelled(reps.select("r", "key", "first_id"), edges)
     least = grouped.groupBy("label").agg(F.min("first_id").alias("keep"))
     keep = grouped.join(least, "label").select("key", "keep")
-    gone = written(sets.select("id", "th", "key").join(keep, "key").where(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "th").distinct(), "gone")
+    gone = written(slim.join(keep, "key").where(~F.col("id").eqNullSafe(F.col("keep"))).select("id", "th").distinct(), "gone")
     blocks = filter_blocks(gone.count())
     bloom = written(blocked_bloom(gone.select(F.xxhash64("id", "th").alias("key")), "key", blocks), "bloom")
     rows = positional(docs, id=F.col(f"`{id_col}`"), th=text_key(F.col(f"`{text_col}`")))
