@@ -15,11 +15,12 @@ def reduced(df: DataFrame, **aggs: Column) -> DataFrame:
 
 
 def folded(df: DataFrame, column: str, start: Column, step, name: str = "value") -> DataFrame:
-    """A reduction of one's own: `step` of two values must not depend on their order. Rows are folded in groups, by a tree of four levels, so that no list holds more than a small share of the rows."""
-    now = df.select(F.col(column).alias("v"), F.monotonically_increasing_id().alias("i"))
-    for bits in (24, 16, 8, 0):
-        now = now.groupBy(F.pmod(F.xxhash64("i"), F.lit(1 << bits)).alias("g")).agg(F.aggregate(F.collect_list("v"), start, step).alias("v")).withColumnRenamed("g", "i")
-    return now.select(F.col("v").alias(name))
+    """A reduction of one's own: one row, `start` folded with all values; of no values, `start`. `step` of two values must not depend on their order or grouping. Nulls are passed over. Rows are folded in groups, by a tree of four levels, so that no list holds more than a small share of the rows; `start` comes in once, at the end."""
+    now = df.select(F.col(column).alias("v"), F.monotonically_increasing_id().alias("i")).where("v is not null")
+    for bits in (24, 16, 8):
+        several = now.groupBy(F.pmod(F.xxhash64("i"), F.lit(1 << bits)).alias("g")).agg(F.collect_list("v").alias("vs"))
+        now = several.select(F.aggregate(F.slice("vs", 2, F.size("vs")), F.get("vs", F.lit(0)), step).alias("v"), F.col("g").alias("i"))
+    return now.agg(F.collect_list("v").alias("vs")).select(F.aggregate("vs", start, step).alias(name))
 
 
 def grouped(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:

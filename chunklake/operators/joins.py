@@ -26,11 +26,24 @@ class Dimension:
         return rows.select(self.key, *self.keep)
 
 
+#: Bytes of the tables that a side is made of, by Spark's estimate, up to which a broadcast that is asked for is made. A dimension's joins are N:1, so they don't multiply its rows.
+MAX_BROADCAST = 64 << 20
+
+
+def sized_hint(side: DataFrame, hint: str) -> str:
+    """`hint`, but for a broadcast of a side that may be too large: that is hashed where it is shuffled to."""
+    if hint != "broadcast":
+        return hint
+    leaves = side._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return hint if total <= MAX_BROADCAST else "shuffle_hash"
+
+
 def star_join(fact: DataFrame, order: list[Dimension], hint: str | None = None) -> DataFrame:
-    """Probes the dimensions one after the other. Sides are broadcast by Spark where their size allows it; `hint` (broadcast, shuffle_hash, merge) asks for another strategy, with the same result."""
+    """Probes the dimensions one after the other. Sides are broadcast by Spark where their size allows it; `hint` (broadcast, shuffle_hash, merge) asks for another strategy, with the same result; a broadcast only up to MAX_BROADCAST."""
     for dim in order:
         side = dim.built()
-        side = side.hint(hint) if hint else side
+        side = side.hint(sized_hint(side, hint)) if hint else side
         fact = fact.join(side, fact[dim.fact_key] == side[dim.key]).drop(side[dim.key])
     return fact
 

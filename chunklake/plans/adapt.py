@@ -10,9 +10,9 @@ from ..functions.fixed import cents, int_div
 from ..sources.tables import table
 
 
-def lineorder(spark: SparkSession, d: str, with_cost: bool = False) -> DataFrame:
-    """The fact table, in cents and percents. `with_cost` adds lo_supplycost, which takes a join with the parts."""
-    line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+def lineorder(spark: SparkSession, d: str, with_cost: bool = False, lines: str = "true", of_orders: str = "true") -> DataFrame:
+    """The fact table, in cents and percents. `with_cost` adds lo_supplycost, which takes a join with the parts. `lines` and `of_orders`: what a query's filters imply for the stored columns, so that it reaches the scans."""
+    line, orders = table(spark, d, "lineitem").where(lines), table(spark, d, "orders").where(of_orders)
     out = line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).select(
         F.col("l_orderkey").alias("lo_key"),
         F.col("l_linenumber").cast("bigint").alias("lo_linenumber"),

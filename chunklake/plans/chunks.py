@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +15,7 @@ from ..operators.joins import Dimension
 from ..operators.predicates import equals, every
 from ..operators.pruning import Points, Range
 from ..sources.generator import generate
-from ..sources.tables import table
+from ..sources.tables import shared_folder, stored, table
 from . import adapt, tpch
 from . import trips as trip_queries
 from .adapt import sql
@@ -32,11 +31,6 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors see: spark.checkpoint.dir; only where that is unset, a folder of this machine."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='chunklake-')}").rstrip("/")
-
-
 def denormalized(spark: SparkSession, d: str, customers: bool = True) -> DataFrame:
     """Fact rows with the dimension attributes that metadata is kept of."""
     dims = [Dimension(date_dimension(spark), "d_key", "lo_orderdate", ("d_year", "d_yearmonthnum", "d_weeknuminyear", "d_yearmonth"))]
@@ -58,6 +52,25 @@ def pruned(data: DataFrame, predicates: list, mode: str) -> tuple[DataFrame, Dat
     return meta, kept, pruning.pruned_scan(data, kept)
 
 
+#: Chunks of the stored fact table.
+CHUNKS = 32
+FACT_COLUMNS = ["d_year", "d_yearmonthnum", "d_weeknuminyear", "d_yearmonth", "lo_discount", "lo_quantity", "c_region", "c_nation", "c_city"]
+
+
+def stored_fact(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The fact table with its dimension attributes in chunks, in the order of a day's position, and the chunks' metadata: both written once in an application and read by every pruned query."""
+    data = stored(spark, "fact", d, lambda path: layout.clustered_write(denormalized(spark, d), path, CHUNKS, ["d_yearmonthnum", "lo_discount"], "zstd"))
+    meta = stored(spark, "fact-meta", d, lambda path: metadata.chunk_metadata(data, FACT_COLUMNS, BUCKETS, BLOOM).write.parquet(path))
+    return data, meta
+
+
+def pruned_fact(spark: SparkSession, d: str, predicates: list, mode: str) -> DataFrame:
+    """The rows of the stored chunks that metadata leaves; other chunks aren't listed, so not read."""
+    data, meta = stored_fact(spark, d)
+    kept = pruning.surviving(meta, predicates, mode, {f.name: f.dataType for f in data.schema}, BUCKETS, BLOOM)
+    return pruning.listed_scan(data, kept)
+
+
 PREDICATES1 = {
     "1": [Range("d_year", 1996, 1996), Range("lo_discount", 1, 3), Range("lo_quantity", 1, 24)],
     "2": [Range("d_yearmonthnum", 199601, 199601), Range("lo_discount", 4, 6), Range("lo_quantity", 26, 35)],
@@ -74,7 +87,7 @@ PREDICATES3 = {
 
 def pruned_q1(k: str, mode: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = pruned(by_key(denormalized(spark, d, False)), PREDICATES1[k], mode)[2]
+        rows = pruned_fact(spark, d, PREDICATES1[k], mode)
         return rows.where(every(*FLIGHT1[k][:2])()).agg(F.sum(F.col("lo_extendedprice") * F.col("lo_discount")).alias("revenue"))
 
     return run
@@ -83,7 +96,7 @@ def pruned_q1(k: str, mode: str) -> Query:
 def pruned_q3(k: str, mode: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         level, *chosen, _ = FLIGHT3[k]
-        rows = pruned(by_key(denormalized(spark, d)), PREDICATES3[k], mode)[2]
+        rows = pruned_fact(spark, d, PREDICATES3[k], mode)
         return rows.where(every(*chosen)()).groupBy(f"c_{level}", f"s_{level}", "d_year").agg(F.sum("lo_revenue").alias("revenue"))
 
     return run
@@ -109,10 +122,22 @@ def _pruned_lines(spark: SparkSession, d: str, mode: str) -> DataFrame:
     return rows.where("l_day <= date'1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _pruned_trips(spark: SparkSession, d: str, mode: str) -> DataFrame:
+def _kept_orders(spark: SparkSession, d: str, low: str | None, high: str, mode: str) -> DataFrame:
+    """The orders of the chunks that may hold one of some days."""
+    data = by_key(table(spark, d, "orders").withColumn("o_day", F.col("o_orderdate").cast("date")), "o_orderkey")
+    return pruned(data, [Range("o_day", low, high)], mode)[2]
+
+
+def _pruned_q3(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    data = by_key(table(spark, d, "lineitem").withColumn("l_day", F.col("l_shipdate").cast("date")), "l_orderkey")
+    lines = pruned(data, [Range("l_day", "1998-03-15", None)], mode)[2]
+    return tpch.q3(spark, d, "1998-03-15", lines, _kept_orders(spark, d, None, "1998-03-15", mode))
+
+
+def _pruned_trips(spark: SparkSession, d: str, mode: str, low: int = 2, high: int = 5) -> DataFrame:
     data = adapt.trips(spark, d).withColumn("chunk_id", F.call_function("div", F.col("location_id"), F.lit(50).cast("bigint")))
-    rows = pruned(data, [Range("distance", 2.0, 5.0)], mode)[2]
-    return rows.where("distance between 2 and 5").groupBy(F.month("pickup").cast("bigint").alias("month")).agg(F.count(F.lit(1)).alias("trips"))
+    rows = pruned(data, [Range("distance", float(low), float(high))], mode)[2]
+    return rows.where(F.col("distance").between(low, high)).groupBy(F.month("pickup").cast("bigint").alias("month")).agg(F.count(F.lit(1)).alias("trips"))
 
 
 for _mode in ("minmax", "hist"):
@@ -122,6 +147,10 @@ for _mode in ("minmax", "hist"):
     ORACLE_SQL[f"prune_tpch_q1_sums_{_mode}"] = tpch.ORACLE_SQL["tpch_q1"]
     QUERIES[f"prune_trips_q1_{_mode}"] = lambda s, d, m=_mode: _pruned_trips(s, d, m)
     ORACLE_SQL[f"prune_trips_q1_{_mode}"] = trip_queries.ORACLE_SQL["trips_q1_1"]
+    QUERIES[f"prune_tpch_q3_{_mode}"], ORACLE_SQL[f"prune_tpch_q3_{_mode}"] = (lambda s, d, m=_mode: _pruned_q3(s, d, m)), tpch.ORACLE_SQL["tpch_q3_1998"]
+    QUERIES[f"prune_tpch_q5_{_mode}"], ORACLE_SQL[f"prune_tpch_q5_{_mode}"] = (lambda s, d, m=_mode: tpch.q5(s, d, _kept_orders(s, d, "1996-01-01", "1996-12-31", m))), tpch.ORACLE_SQL["tpch_q5"]
+    for _k, (_lo, _hi) in {"2": (5, 15), "3": (15, 5000)}.items():
+        QUERIES[f"prune_trips_q1_{_k}_{_mode}"], ORACLE_SQL[f"prune_trips_q1_{_k}_{_mode}"] = (lambda s, d, m=_mode, lo=_lo, hi=_hi: _pruned_trips(s, d, m, lo, hi)), trip_queries.ORACLE_SQL[f"trips_q1_{_k}"]
 
 
 def join_pruned_q1(spark: SparkSession, d: str) -> DataFrame:
@@ -184,6 +213,10 @@ ORACLE_SQL["distinct_counts"] = sql("select " + ", ".join(f"count(distinct {c})
 QUERIES["min_max_prices"] = lambda s, d: aggregates.reduced(adapt.lineorder(s, d), low=F.min("lo_extendedprice"), high=F.max("lo_extendedprice"))
 ORACLE_SQL["min_max_prices"] = sql("select min(lo_extendedprice) as low, max(lo_extendedprice) as high from lineorder")
 QUERIES["fold_max"] = lambda s, d: aggregates.folded(adapt.lineorder(s, d), "lo_extendedprice", F.lit(0).cast("bigint"), lambda a, b: F.greatest(a, b))
+QUERIES["fold_sum_from"] = lambda s, d: aggregates.folded(adapt.lineorder(s, d), "lo_quantity", F.lit(10).cast("bigint"), lambda a, b: a + b)
+ORACLE_SQL["fold_sum_from"] = sql("select cast(10 + sum(lo_quantity) as bigint) as value from lineorder")
+QUERIES["fold_empty"] = lambda s, d: aggregates.folded(adapt.lineorder(s, d).where("lo_quantity < 0"), "lo_quantity", F.lit(10).cast("bigint"), lambda a, b: a + b)
+ORACLE_SQL["fold_empty"] = sql("select cast(10 + coalesce(sum(lo_quantity), 0) as bigint) as value from lineorder where lo_quantity < 0")
 ORACLE_SQL["fold_max"] = sql("select max(lo_extendedprice) as value from lineorder")
 QUERIES["sort_permutation"] = lambda s, d: layout.permutation(table(s, d, "orders"), "o_orderkey", "o_orderpriority", "o_orderdate")
 ORACLE_SQL["sort_permutation"] = "select o_orderkey, row_number() over (order by o_orderpriority, o_orderdate, o_orderkey) - 1 as place from orders"

@@ -12,6 +12,7 @@ from ..functions.dates import date_dimension
 from ..operators.aggregates import from_rollup, grouped, reduced, rollup_weekly
 from ..operators.joins import Dimension, star_join
 from ..operators.predicates import Predicate, at_least, below, closed, equals, every, one_of, optional, starts_with, where
+from ..sources.tables import stored
 from . import adapt
 from .adapt import sql
 
@@ -24,11 +25,11 @@ def _total(c: str = "lo_revenue") -> Column:
     return F.sum(c)
 
 
-def q1(date_where: Predicate, fact_where: Predicate, price: bool = False, cached: bool = False, hint: str | None = None) -> Query:
-    """Revenue of discounts, filtered by date, discount and quantity."""
+def q1(date_where: Predicate, fact_where: Predicate, price: bool = False, cached: bool = False, hint: str | None = None, lines: str = "true", days: str = "true") -> Query:
+    """Revenue of discounts, filtered by date, discount and quantity. `lines` and `days`: what the filters imply for stored columns; a cached table goes without."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        fact = adapt.lineorder(spark, d)
+        fact = adapt.lineorder(spark, d) if cached else adapt.lineorder(spark, d, lines=lines, of_orders=days)
         fact = fact.cache() if cached else fact
         fact = where(fact, fact_where, optional(closed("lo_extendedprice", 3_990_000, 4_000_000), price))
         joined = star_join(fact, [Dimension(date_dimension(spark), "d_key", "lo_orderdate", where=date_where)], hint)
@@ -53,7 +54,7 @@ def q2(part_where: Predicate, supplier_where: Predicate, order: str = "psd", cac
     return run
 
 
-def q3(level: str, customer_where: Predicate, supplier_where: Predicate, date_where: Predicate, hint: str | None = None, cached: bool = False) -> Query:
+def q3(level: str, customer_where: Predicate, supplier_where: Predicate, date_where: Predicate, hint: str | None = None, cached: bool = False, days: str = "true") -> Query:
     """Revenue by customer's and supplier's nation or city, and year."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
@@ -62,13 +63,13 @@ def q3(level: str, customer_where: Predicate, supplier_where: Predicate, date_wh
             Dimension(adapt.supplier(spark, d), "s_key", "lo_suppkey", (f"s_{level}",), supplier_where),
             Dimension(date_dimension(spark), "d_key", "lo_orderdate", ("d_year",), date_where),
         ]
-        fact = adapt.lineorder(spark, d)
+        fact = adapt.lineorder(spark, d, of_orders="true" if cached else days)
         return grouped(star_join(fact.cache() if cached else fact, dims, hint), [f"c_{level}", f"s_{level}", "d_year"], revenue=_total())
 
     return run
 
 
-def q4(keys: list[str], customer_where: Predicate, supplier_where: Predicate, part_where: Predicate, date_where: Predicate | None = None, cached: bool = False, hint: str | None = None) -> Query:
+def q4(keys: list[str], customer_where: Predicate, supplier_where: Predicate, part_where: Predicate, date_where: Predicate | None = None, cached: bool = False, hint: str | None = None, days: str = "true") -> Query:
     """Profit by `keys`."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +80,7 @@ def q4(keys: list[str], customer_where: Predicate, supplier_where: Predicate, pa
             Dimension(adapt.part(spark, d), "p_key", "lo_partkey", keep("p_"), part_where),
             Dimension(date_dimension(spark), "d_key", "lo_orderdate", keep("d_"), date_where),
         ]
-        fact = adapt.lineorder(spark, d, with_cost=True)
+        fact = adapt.lineorder(spark, d, with_cost=True, of_orders="true" if cached else days)
         return grouped(star_join(fact.cache() if cached else fact, dims, hint), keys, profit=F.sum(F.col("lo_revenue") - F.col("lo_supplycost")))
 
     return run
@@ -128,8 +129,22 @@ FLIGHT4 = {
 #: Join strategies of the hybrid variants, which differ in placement only.
 HINTS = {"a": "broadcast", "c": "shuffle_hash", "d": "merge"}
 
+def _days(first: str, last: str) -> str:
+    """Order dates from one day to before another, as a filter of the stored column."""
+    return f"o_orderdate >= timestamp_ntz'{first}' and o_orderdate < timestamp_ntz'{last}'"
+
+
+#: What the filters of the first flight imply for stored lines (a rate is rounded to percents, hence the margin) and orders; of the others for orders. The filters themselves still decide.
+SOURCE1 = {
+    "1": ("l_discount >= 0.0049 and l_discount < 0.0351 and l_quantity < 25", _days("1996-01-01", "1997-01-01")),
+    "2": ("l_discount >= 0.0349 and l_discount < 0.0651 and l_quantity >= 26 and l_quantity < 36", _days("1996-01-01", "1996-02-01")),
+    "3": ("l_discount >= 0.0449 and l_discount < 0.0751 and l_quantity >= 26 and l_quantity < 36", _days("1997-01-01", "1998-01-01")),
+}
+DAYS3 = {k: _days("1997-12-01", "1998-01-01") if k.startswith("4") else _days("1996-01-01", "2001-01-01") for k in FLIGHT3}
+DAYS4 = {"1": "true", "2": _days("1997-01-01", "1999-01-01"), "3": _days("1997-01-01", "1999-01-01")}
+
 for k, (dw, fw, text) in FLIGHT1.items():
-    _add(f"q1_{k}", q1(dw, fw), _sql(GAIN, text))
+    _add(f"q1_{k}", q1(dw, fw, lines=SOURCE1[k][0], days=SOURCE1[k][1]), _sql(GAIN, text))
     _add(f"q1_{k}_inmem", q1(dw, fw, cached=True), _sql(GAIN, text))
 _add("q1_1_price", q1(*FLIGHT1["1"][:2], price=True), _sql(GAIN, FLIGHT1["1"][2] + " and lo_extendedprice between 3990000 and 4000000"))
 for k, (pw, sw, text) in FLIGHT2.items():
@@ -139,21 +154,22 @@ for k, (pw, sw, text) in FLIGHT2.items():
         _add(f"q2_{k}_{order}", q2(pw, sw, order), _sql(f"d_year, p_brand1, {REVENUE}", text, "d_year, p_brand1"))
 for k, (level, cw, sw, dw, text) in FLIGHT3.items():
     keys = f"c_{level}, s_{level}, d_year"
-    _add(f"q3_{k}", q3(level, cw, sw, dw), _sql(f"{keys}, {REVENUE}", text, keys))
+    _add(f"q3_{k}", q3(level, cw, sw, dw, days=DAYS3[k]), _sql(f"{keys}, {REVENUE}", text, keys))
 for k, (v, hint) in product("1234", HINTS.items()):
     level, cw, sw, dw, text = FLIGHT3[k]
-    _add(f"q3_{k}{v}", q3(level, cw, sw, dw, hint), _sql(f"c_{level}, s_{level}, d_year, {REVENUE}", text, f"c_{level}, s_{level}, d_year"))
+    _add(f"q3_{k}{v}", q3(level, cw, sw, dw, hint, days=DAYS3[k]), _sql(f"c_{level}, s_{level}, d_year, {REVENUE}", text, f"c_{level}, s_{level}, d_year"))
 for k in "1234":
     level, cw, sw, dw, text = FLIGHT3[k]
     _add(f"q3_{k}_inmem", q3(level, cw, sw, dw, cached=True), _sql(f"c_{level}, s_{level}, d_year, {REVENUE}", text, f"c_{level}, s_{level}, d_year"))
 for k, (keys, cw, sw, pw, dw, text) in FLIGHT4.items():
-    _add(f"q4_{k}", q4(keys, cw, sw, pw, dw), _sql(f"{', '.join(keys)}, {PROFIT}", text, ", ".join(keys)))
+    _add(f"q4_{k}", q4(keys, cw, sw, pw, dw, days=DAYS4[k]), _sql(f"{', '.join(keys)}, {PROFIT}", text, ", ".join(keys)))
     _add(f"q4_{k}_inmem", q4(keys, cw, sw, pw, dw, cached=True), _sql(f"{', '.join(keys)}, {PROFIT}", text, ", ".join(keys)))
 
 
 def _pre_aggregated(chosen: Predicate) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return from_rollup(rollup_weekly(adapt.lineorder(spark, d), date_dimension(spark)), adapt.supplier(spark, d), chosen)
+        rollup = stored(spark, "rollup", d, lambda path: rollup_weekly(adapt.lineorder(spark, d), date_dimension(spark)).write.parquet(path))
+        return from_rollup(rollup, adapt.supplier(spark, d), chosen)
 
     return run
 

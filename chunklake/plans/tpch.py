@@ -41,17 +41,20 @@ def _revenue() -> Column:
     return F.sum(cents(F.col("l_extendedprice")) * (100 - cents(F.col("l_discount"))))
 
 
-def q3(spark: SparkSession, d: str, day: str = "1995-03-15") -> DataFrame:
-    """Revenue of orders of one segment, ordered before a day and shipped after it."""
+def q3(spark: SparkSession, d: str, day: str = "1995-03-15", lines: DataFrame | None = None, orders: DataFrame | None = None) -> DataFrame:
+    """Revenue of orders of one segment, ordered before a day and shipped after it. `lines` and `orders`: the rows to take instead of the whole tables'."""
+    lines = table(spark, d, "lineitem") if lines is None else lines
+    orders = table(spark, d, "orders") if orders is None else orders
     c = where(table(spark, d, "customer"), equals("c_mktsegment", "BUILDING")).select("c_custkey")
-    o = where(table(spark, d, "orders"), below("o_orderdate", _day(day))).select("o_orderkey", "o_custkey", "o_orderdate")
-    line = table(spark, d, "lineitem").where(F.col("l_shipdate") > _day(day)).select("l_orderkey", "l_extendedprice", "l_discount")
+    o = where(orders, below("o_orderdate", _day(day))).select("o_orderkey", "o_custkey", "o_orderdate")
+    line = lines.where(F.col("l_shipdate") > _day(day)).select("l_orderkey", "l_extendedprice", "l_discount")
     joined = o.join(c, o["o_custkey"] == c["c_custkey"], "left_semi").join(line, F.col("o_orderkey") == line["l_orderkey"])
     return grouped(joined, ["l_orderkey", "o_orderdate"], revenue_e4=_revenue()).select("l_orderkey", "o_orderdate", F.lit(0).alias("o_shippriority"), (F.col("revenue_e4") / 10000).alias("revenue"))
 
 
-def _q5(spark: SparkSession, d: str, nations: DataFrame) -> DataFrame:
-    c, o, s = table(spark, d, "customer"), where(table(spark, d, "orders"), half_open("o_orderdate", _day("1996-01-01"), _day("1996-01-01") + F.expr("interval 1 year"))), table(spark, d, "supplier")
+def _q5(spark: SparkSession, d: str, nations: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    orders = table(spark, d, "orders") if orders is None else orders
+    c, o, s = table(spark, d, "customer"), where(orders, half_open("o_orderdate", _day("1996-01-01"), _day("1996-01-01") + F.expr("interval 1 year"))), table(spark, d, "supplier")
     line = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount")
     # Suppliers and customers of the same nation: the second key of the supplier join.
     local = o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", "c_nationkey")
@@ -59,9 +62,9 @@ def _q5(spark: SparkSession, d: str, nations: DataFrame) -> DataFrame:
     return grouped(sold.join(nations, F.col("s_nationkey") == nations["n_nationkey"]), ["n_name"], revenue_e4=_revenue()).select("n_name", (F.col("revenue_e4") / 10000).alias("revenue"))
 
 
-def q5(spark: SparkSession, d: str) -> DataFrame:
+def q5(spark: SparkSession, d: str, orders: DataFrame | None = None) -> DataFrame:
     n, r = table(spark, d, "nation"), where(table(spark, d, "region"), equals("r_name", "ASIA"))
-    return _q5(spark, d, n.join(r, n["n_regionkey"] == r["r_regionkey"], "left_semi").select("n_nationkey", "n_name"))
+    return _q5(spark, d, n.join(r, n["n_regionkey"] == r["r_regionkey"], "left_semi").select("n_nationkey", "n_name"), orders)
 
 
 def q5_opt(spark: SparkSession, d: str) -> DataFrame:
