@@ -82,13 +82,14 @@ class Tree:
 
     def _next(self, text: str, at: int) -> int:
         """Where the pre-token that begins at `at` ends."""
-        e, until = self.encode, len(text)
+        e = self.encode
         for added in e.added:
             if text.startswith(added, at):
                 return at + len(added)
-            found = text.find(added, at)
-            until = found if 0 <= found < until else until
-        return e.pattern.match(text, at, until).end()
+        end = e.pattern.match(text, at).end()
+        # An added token that begins before the end, or right there, ends the search for it; one further on changes nothing.
+        found = [k for k in (text.find(added, at, end + len(added)) for added in e.added) if k >= 0]
+        return e.pattern.match(text, at, min(found)).end() if found else end
 
     def edit(self, at: int, remove: int, insert: str | None) -> int:
         """Applies an edit, clipped to the text; returns how many characters it re-encoded."""

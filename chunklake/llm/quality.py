@@ -200,7 +200,9 @@ def keep_good(docs: DataFrame, limits: Limits = Limits(), text_col: str = "text"
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts(table(spark, sf_dir, "documents"))
+    out = verdicts(table(spark, sf_dir, "documents"))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return out.select(*first, *(c for c in out.columns if c not in first))
 
 
 QUERIES = {"op6_quality": op6_quality}
