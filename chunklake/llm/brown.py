@@ -1,13 +1,15 @@
 """Language-model scores by class-based bigrams (operator 7).
 
-Exchange clustering assigns the most frequent words (a lexicon of fixed size) to classes so that classes predict their
-neighbours; all other words are one more class, and the end of a text is a class of its own. Class transitions and word
-emissions, both counted over all training texts, give each text's log probability.
+Exchange clustering assigns every training word that occurs twice or more to a class, so that classes predict their
+neighbours; the number of classes grows with the vocabulary. Words that occur once, and unknown ones, are one more class,
+and the end of a text is a class of its own. Class transitions and word emissions, both counted over all training texts,
+give each text's log probability.
 
 Texts are read once: tasks turn them into blocks of bounded size, each with a dictionary of its own (a row of binary
-columns). Dictionaries, not tokens, meet the corpus counts in a shuffle. Clustering follows Uszkoreit and Brants (2008): a
-pass counts, for each word of the lexicon, its neighbours' classes; then words move one after the other, class counts
-following at once and neighbours' classes with the next pass.
+columns). Dictionaries, not tokens, meet the corpus counts in a shuffle. Clustering has two parts. The most frequent words
+weigh much against their classes: their bigrams (a matrix of bounded size) come to the driver, and they move one after the
+other, all counts following at once (Martin, Liermann and Ney 1998). Each of the others weighs little: they move side by
+side, by word, against the classes' sums, as in Uszkoreit and Brants (2008), with gains of first order.
 """
 
 from __future__ import annotations
@@ -21,22 +23,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
-#: Words that get classes one by one. The rest is counted and scored just so, within one class.
-LEXICON = 4096
-CLASSES = 32
-#: Passes of the exchange.
+#: Words that move one after the other: the driver gets (HEAD + 2)² sums at most. The rest moves in Spark.
+HEAD = 2048
+#: Passes of the exchange over these.
 PASSES = 3
+#: There are so many classes as this power of the number of distinct training words.
+GROWTH = 0.3
 #: Added to each class transition.
 TRANSITION = 0.5
-#: Added to each count of a word outside the lexicon, an unknown one included.
+#: Added to each count of a word in its class, an unknown one included.
 EMISSION = 0.5
 #: The end of a text as a word: no word holds a line feed.
 END = b"\n"
-_LID, _COUNT = 24, 40
+#: Bits of a word's number in its block's dictionary.
+_LID = 24
+#: Steps of a first-order gain: whole numbers, so that sums don't depend on their order.
+_STEPS = 1 << 20
 
 
 def _hash(word: bytes) -> int:
@@ -45,6 +51,15 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, all first bytes first: most last ones are zero and shrink to nothing."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def encoded(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each block of texts: block, ids, held, sizes (tokens, with the end), tokens (numbers in the block's dictionary), words (the dictionary: 64-bit hashes), counts (in training texts)."""
 
@@ -58,7 +73,7 @@ def encoded(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "
             train = np.repeat(~np.array(held, bool), sizes)
             counts = np.bincount(flat[train], minlength=len(number)).astype(np.uint32)
             words = np.fromiter((end if w == END else _hash(w) for w in number), np.uint64, len(number))
-            cols = [pa.array([at << 16 | seq]), pa.array([ids], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())), *(pa.array([x.tobytes()], pa.binary()) for x in (flat, words, counts))]
+            cols = [pa.array([at << 16 | seq]), pa.array([ids], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())), *(pa.array([x], pa.binary()) for x in (packed(flat), words.tobytes(), counts.tobytes()))]
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         for batch in batches:
@@ -98,177 +113,329 @@ def vocabulary(blocks: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Lexicon:
-    """Words by sorted hash, with their classes and counts. The class of others is CLASSES, that of the end CLASSES + 1."""
+class Head:
+    """The most frequent words by sorted hash, with counts and classes; how many classes words may have; and the corpus's totals."""
 
     hashes: np.ndarray
-    classes: np.ndarray
     counts: np.ndarray
+    classes: np.ndarray
+    words_classes: int
+    total: int
+    distinct: int
+
+    @property
+    def rare(self) -> int:
+        """The class of words that occur once or never."""
+        return self.words_classes
+
+    @property
+    def end(self) -> int:
+        return self.words_classes + 1
 
     @property
     def size(self) -> int:
-        return CLASSES + 2
+        return self.words_classes + 2
 
     def find(self, words: np.ndarray) -> np.ndarray:
-        """For each hash its place, or -1."""
-        if not len(self.hashes):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == words, at, -1)
+        """Places of a block's dictionary: of words of the head theirs, of others the number of those, of the end (each dictionary's first word) one more."""
+        k = len(self.hashes)
+        out = np.full(len(words), k)
+        if k:
+            at = np.minimum(np.searchsorted(self.hashes, words), k - 1)
+            out = np.where(self.hashes[at] == words, at, k)
+        out[0] = k + 1
+        return out
+
+    @property
+    def place_classes(self) -> np.ndarray:
+        """The class of each place that find() gives."""
+        return np.append(self.classes, [self.rare, self.end]).astype(np.int64)
 
-    def classes_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of a block's dictionary: places in the lexicon, and classes. The first word of each dictionary is the end."""
-        at = self.find(words)
-        classes = np.where(at >= 0, self.classes[at] if len(self.classes) else 0, CLASSES)
-        classes[0], at[0] = CLASSES + 1, -1
-        return at, classes
+
+def head_of(vocab: DataFrame, most: int = HEAD) -> Head:
+    """The most frequent words, classes dealt in turn by frequency."""
+    total, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    end = np.array([_hash(END)], np.uint64).view(np.int64)[0].item()
+    top = vocab.where((F.col("h") != end) & (F.col("n") > 1)).orderBy(F.desc("n"), "h").limit(most).toArrow()
+    hashes, counts = top["h"].to_numpy(), top["n"].to_numpy()
+    order, classes = np.argsort(hashes), max(4, round(distinct**GROWTH))
+    return Head(hashes[order], counts[order], (np.arange(len(hashes)) % classes)[order], classes, int(total), int(distinct))
 
 
-def neighbours(blocks: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over all training texts: for each word of the lexicon the classes before it and after it, and all pairs of classes. The driver gets (2·LEXICON + CLASSES + 2)·(CLASSES + 2) sums at most."""
-    sent = blocks.sparkSession.sparkContext.broadcast(lexicon)
-    k, s = len(lexicon.hashes), lexicon.size
+def _training(row_tokens: bytes, held: list, sizes: list) -> np.ndarray:
+    return unpacked(row_tokens)[np.repeat(~np.array(held, bool), sizes)]
+
+
+def _summed(blocks: DataFrame, columns: list[str], cells: int, count) -> np.ndarray:
+    """Sums over all blocks of what `count` makes of one: numbers of cells, each occurrence once. Tasks hold `cells` counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = sent.value
-        total = np.zeros((2 * k + s) * s, np.int64)
+        total = np.zeros(cells, np.int64)
         for batch in batches:
-            for tokens, words, held, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at, classes = lex.classes_of(np.frombuffer(words, np.int64))
-                flat = np.frombuffer(tokens, np.uint32)[np.repeat(~np.array(held, bool), sizes)]
-                place, c = at[flat], classes[flat]
-                before = np.concatenate(([CLASSES + 1], c[:-1])) if len(c) else c
-                after = np.append(c[1:], CLASSES + 1) if len(c) else c
-                known = place >= 0
-                total[: k * s] += np.bincount(place[known] * s + before[known], minlength=k * s)
-                # After the last word of a text comes its end.
-                total[k * s : 2 * k * s] += np.bincount(place[known] * s + after[known], minlength=k * s)
-                total[2 * k * s :] += np.bincount(before * s + c, minlength=s * s)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], names=["cell", "n"])
-
-    out = np.zeros((2 * k + s) * s)
-    got = blocks.select("tokens", "words", "held", "sizes").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, n = np.unique(count(*row), return_counts=True)
+                total[at] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+
+    out = np.zeros(cells, np.int64)
+    got = blocks.select(*columns).mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return out[: k * s].reshape(k, s), out[k * s : 2 * k * s].reshape(k, s), out[2 * k * s :].reshape(s, s)
+    return out
+
+
+def bigrams(blocks: DataFrame, head: Head) -> np.ndarray:
+    """How often each place of the head (others and the end are places, too) follows each, in training texts. The first word of a text follows an end."""
+    sent, size = blocks.sparkSession.sparkContext.broadcast(head), len(head.hashes) + 2
+
+    def count(tokens, words, held, sizes):
+        at = sent.value.find(np.frombuffer(words, np.int64))[_training(tokens, held, sizes)]
+        return np.concatenate(([size - 1], at[:-1])) * size + at if len(at) else at
+
+    return _summed(blocks, ["tokens", "words", "held", "sizes"], size * size, count).reshape(size, size)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
-    return x * np.log(np.maximum(x, 1e-12))
+    return x * np.log(np.maximum(x, 1))
+
+
+def by_class(counts: np.ndarray, classes: np.ndarray, size: int) -> np.ndarray:
+    """Bigrams of places as bigrams of classes."""
+    rows = np.zeros((size, counts.shape[1]), np.int64)
+    np.add.at(rows, classes, counts)
+    out = np.zeros((size, size), np.int64)
+    np.add.at(out.T, classes, rows.T)
+    return out
 
 
 def information(pairs: np.ndarray) -> float:
-    """What exchange makes as large as it can: the log likelihood of classes given the class before, but for a constant."""
-    return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=0)).sum() - _xlogx(pairs.sum(axis=1)).sum())
-
-
-def exchange(classes: np.ndarray, counts: np.ndarray, before: np.ndarray, after: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """One sweep: each word, the most frequent first, moves to the class that gains most."""
-    classes, pairs = classes.copy(), pairs.copy()
-    for w in np.lexsort((np.arange(len(counts)), -counts)):
-        a = classes[w]
-        left, right = before[w], after[w]
-        pairs[:, a] -= left
-        pairs[a, :] -= right
-        pairs[pairs < 0] = 0
-        rows, cols = pairs.sum(axis=1), pairs.sum(axis=0)
-        n = left.sum()
-        # Gains of adding the word to each class: its column and its row grow; so do their sums.
-        gain = (_xlogx(pairs + left[:, None]) - _xlogx(pairs)).sum(axis=0) + (_xlogx(pairs + right[None, :]) - _xlogx(pairs)).sum(axis=1)
-        gain -= _xlogx(rows + n) - _xlogx(rows) + _xlogx(cols + n) - _xlogx(cols)
-        b = int(np.argmax(gain[:CLASSES]))
-        classes[w] = b
-        pairs[:, b] += left
-        pairs[b, :] += right
-    return classes
+    """What exchange makes as large as it can: the log likelihood of classes given the class before, but for a constant. Each token follows one and is followed by one, so rows and columns have the same sums."""
+    return float(_xlogx(pairs).sum() - 2 * _xlogx(pairs.sum(axis=0)).sum())
+
+
+def exchange(head: Head, counts: np.ndarray, passes: int = PASSES) -> np.ndarray:
+    """Classes of the head after `passes` in which each word, the most frequent first, moves to the class that gains most."""
+    k, size, free = len(head.hashes), head.size, head.words_classes
+    classes = head.place_classes
+    pairs, follows = by_class(counts, classes, size), np.ascontiguousarray(counts.T)
+    sums = pairs.sum(axis=0)
+    for _ in range(passes):
+        moved = 0
+        for w in np.lexsort((np.arange(k), -head.counts)):
+            a, n, own = classes[w], follows[w].sum(), counts[w, w]
+            left = np.bincount(classes, follows[w], size).astype(np.int64)
+            right = np.bincount(classes, counts[w], size).astype(np.int64)
+            # A word after itself is in both, and once in the pairs.
+            left[a] -= own
+            right[a] -= own
+            pairs[:, a] -= left
+            pairs[a, :] -= right
+            pairs[a, a] -= own
+            sums[a] -= n
+            x = np.flatnonzero(left)
+            gain = (_xlogx(pairs[x] + left[x, None]) - _xlogx(pairs[x])).sum(axis=0)
+            y = np.flatnonzero(right)
+            gain += (_xlogx(pairs[:, y] + right[None, y]) - _xlogx(pairs[:, y])).sum(axis=1)
+            d = np.diag(pairs)
+            gain += _xlogx(d + left + right + own) - _xlogx(d + left) - _xlogx(d + right) + _xlogx(d)
+            gain -= 2 * (_xlogx(sums + n) - _xlogx(sums))
+            b = int(np.argmax(gain[:free]))
+            if gain[b] <= gain[a] + 1e-9:
+                b = a
+            moved += b != a
+            classes[w] = b
+            pairs[:, b] += left
+            pairs[b, :] += right
+            pairs[b, b] += own
+            sums[b] += n
+        if not moved:
+            break
+    return classes[:k]
+
+
+def gains(pairs: np.ndarray, free: int) -> np.ndarray:
+    """What one more occurrence after class c (row c), or before it (row size + c), adds for each class that a word may have: the logarithm of the transition, in whole steps."""
+    size, sums = len(pairs), pairs.sum(axis=0)
+    share = np.log(pairs + TRANSITION), np.log(sums + TRANSITION * size)
+    before = share[0][:, :free] - share[1][None, :free]
+    after = share[0].T[:, :free] - share[1][None, :free]
+    return np.rint(np.concatenate((before, after)) * _STEPS).astype(np.int64)
+
+
+def others(blocks: DataFrame, head: Head, pairs: np.ndarray) -> DataFrame:
+    """Each training word outside the head: h, n, c (its class). Neighbours' classes are those of the head; words that occur once are `rare`."""
+    spark = blocks.sparkSession
+    sent, table_of = spark.sparkContext.broadcast(head), spark.sparkContext.broadcast(gains(pairs, head.words_classes))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Head = sent.value
+        classes, k, size = m.place_classes, len(m.hashes), m.size
+        for batch in batches:
+            for tokens, words, held, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = np.frombuffer(words, np.int64)
+                place, flat = m.find(h), _training(tokens, held, sizes)
+                if not len(flat):
+                    continue
+                c = classes[place[flat]]
+                asks = np.flatnonzero(place[flat] == k)
+                word = flat[asks].astype(np.int64) * (2 * size)
+                # No text begins without an end before it, and none but the end is last.
+                before = np.concatenate(([m.end], c[:-1]))[asks]
+                cell, n = np.unique(np.concatenate((word + before, word + size + c[asks + 1])), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h[cell // (2 * size)]), pa.array((cell % (2 * size)).astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "cell", "n"])
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, gain = sent.value, table_of.value
+
+        def made(h, n, score):
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), pa.array(np.where(n > 1, score.argmax(axis=1), m.rare).astype(np.int32))], names=["h", "n", "c"])
+
+        # Rows come by word; the last word of a batch may go on in the next.
+        last = None
+        for batch in batches:
+            h, cell, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(h):
+                continue
+            n = n.astype(np.int64)
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            score = np.add.reduceat(gain[cell] * n[:, None], first, axis=0)
+            # Each occurrence has one class before it.
+            seen, names = np.add.reduceat(np.where(cell < m.size, n, 0), first), h[first]
+            if last is not None:
+                if last[0][0] == names[0]:
+                    seen[0] += last[1][0]
+                    score[0] += last[2][0]
+                else:
+                    yield made(*last)
+            if len(names) > 1:
+                yield made(names[:-1], seen[:-1], score[:-1])
+            last = names[-1:], seen[-1:], score[-1:]
+        if last is not None:
+            yield made(*last)
+
+    asked = blocks.select("tokens", "words", "held", "sizes").mapInArrow(cells, "h bigint, cell int, n int")
+    return asked.repartition("h").sortWithinPartitions("h").mapInArrow(moved, "h bigint, n bigint, c int")
+
+
+def labelled(blocks: DataFrame, head: Head, rest: DataFrame) -> DataFrame:
+    """Blocks with the training count and class of each word of their dictionaries, instead of its hash. Dictionaries alone meet the corpus's words."""
+    sent = blocks.sparkSession.sparkContext.broadcast(head)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Head = sent.value
+        for batch in batches:
+            for block, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = np.frombuffer(words, np.int64)
+                lid = np.flatnonzero(m.find(h) == len(m.hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(h[lid]), pa.array(block << _LID | lid)], names=["h", "at"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Head = sent.value
+        for batch in batches:
+            where = [m.find(np.frombuffer(w, np.int64)).astype(np.uint16).tobytes() for w in batch.column("words").to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("words"), "words", pa.array(where, pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Head = sent.value
+        ends = np.zeros(len(m.hashes) + 2, np.int64)
+        ends[:-2] = m.counts
+        classes = m.place_classes
+        for batch in batches:
+            ns, cs = [], []
+            for words, lid, n, c in zip(batch.column("words").to_pylist(), *(batch.column(x) for x in ("lid", "n", "c")), strict=True):
+                place = np.frombuffer(words, np.uint16)
+                count, kind = ends[place], classes[place].astype(np.uint16)
+                if lid.is_valid:
+                    at = lid.values.to_numpy(zero_copy_only=False)
+                    count[at] = n.values.to_numpy(zero_copy_only=False)
+                    kind[at] = c.values.to_numpy(zero_copy_only=False)
+                ns.append(count.tobytes())
+                cs.append(kind.tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(ns, pa.binary()), pa.array(cs, pa.binary())], names=[*keep, "n", "c"])
+
+    keep = ["ids", "held", "sizes", "tokens"]
+    asked = blocks.select("block", "words").mapInArrow(entries, "h bigint, at bigint").join(rest, "h")
+    lid = F.col("at").bitwiseAND((1 << _LID) - 1).cast("int").alias("lid")
+    lists = asked.groupBy(F.shiftright("at", _LID).alias("block")).agg(F.collect_list(F.struct(lid, "n", "c")).alias("x"))
+    known = written(lists.select("block", "x.lid", "x.n", "x.c"), "known")
+    ready = blocks.select("block", *keep, "words")
+    out = ready.mapInArrow(placed, ready.schema).join(known, "block", "left").select(*keep, "words", "lid", "n", "c")
+    kinds = ", ".join(f"{x} {blocks.schema[x].dataType.simpleString()}" for x in keep)
+    out = written(out.mapInArrow(run, f"{kinds}, n binary, c binary"), "labelled")
+    discard(known)
+    return out
 
 
 @dataclass
 class Model:
-    lexicon: Lexicon
     #: log10 of class transitions.
     transition: np.ndarray
-    #: Tokens in each class.
+    #: Of each class, training tokens and distinct words; of the rare one, an unknown word is one more.
     in_class: np.ndarray
+    words: np.ndarray
+    rare: int
+    end: int
     total: int
     distinct: int
-    #: Distinct training words outside the lexicon.
-    others: int
 
 
-def fit(blocks: DataFrame, vocab: DataFrame) -> Model:
-    """A model of the training texts of `blocks`, whose counts `vocab` has."""
-    total, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    end = np.array([_hash(END)], np.uint64).view(np.int64)[0].item()
-    top = vocab.where(F.col("h") != end).orderBy(F.desc("n"), "h").limit(LEXICON).toArrow()
-    hashes, counts = top["h"].to_numpy(), top["n"].to_numpy()
-    order = np.argsort(hashes)
-    # At first, by frequency in turn.
-    lexicon = Lexicon(hashes[order], (np.arange(len(hashes)) % CLASSES)[order], counts[order])
-    best, chosen = -np.inf, None
-    for k in range(PASSES + 1):
-        before, after, pairs = neighbours(blocks, lexicon)
-        now = information(pairs)
-        if now > best:
-            best, chosen = now, (lexicon, pairs)
-        if k < PASSES:
-            lexicon = Lexicon(lexicon.hashes, exchange(lexicon.classes, lexicon.counts, before, after, pairs), lexicon.counts)
-    lexicon, pairs = chosen
-    transition = np.log10((pairs + TRANSITION) / (pairs.sum(axis=1, keepdims=True) + TRANSITION * lexicon.size))
-    return Model(lexicon, transition, pairs.sum(axis=0), int(total), int(distinct), int(distinct) - len(hashes) - bool(total))
-
-
-def scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def model_of(ready: DataFrame, head: Head, rest: DataFrame) -> Model:
+    """Transitions of the classes that all words have in the end, from all training texts."""
+    size, end = head.size, head.end
+
+    def count(tokens, c, held, sizes):
+        at = np.frombuffer(c, np.uint16)[_training(tokens, held, sizes)].astype(np.int64)
+        return np.concatenate(([end], at[:-1])) * size + at if len(at) else at
+
+    pairs = _summed(ready, ["tokens", "c", "held", "sizes"], size * size, count).reshape(size, size)
+    words = np.bincount(head.classes, minlength=size) if len(head.classes) else np.zeros(size, np.int64)
+    for c, n in rest.groupBy("c").count().collect():  # one row a class
+        words[c] += n
+    words[head.rare] += 1
+    transition = np.log10((pairs + TRANSITION) / (pairs.sum(axis=1, keepdims=True) + TRANSITION * size))
+    return Model(transition, pairs.sum(axis=0), words, head.rare, end, head.total, head.distinct)
+
+
+def scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD) -> DataFrame:
     """One row for each row of `docs`: id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     `held_out`: a condition; texts for which it is true aren't learned from (null: false). A null or empty text is its end
-    alone. Texts are taken whole. Rows that are equal, or share an id, count as often as they occur. Without training
-    texts every word is unknown. An empty table gives an empty table. Other columns aren't read.
+    alone. Texts are taken whole, with up to 2^24 distinct words each. Rows that are equal, or share an id, count as often as
+    they occur. Without training texts every word is unknown. An empty table gives an empty table. Other columns aren't read.
     """
     blocks = written(encoded(docs, held_out, id_col, text_col), "blocks")
     vocab = written(vocabulary(blocks), "vocabulary")
-    model = fit(blocks, vocab)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = sent.value.lexicon
-        for batch in batches:
-            for block, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = np.frombuffer(words, np.int64)
-                lid = np.flatnonzero(lex.find(h) < 0)
-                yield pa.RecordBatch.from_arrays([pa.array(h[lid]), pa.array(block << _LID | lid)], names=["h", "at"])
-
-    # Words of the lexicon are known to every task; the counts of the others come to the blocks that have them.
-    asked = blocks.select("block", "words").mapInArrow(entries, "h bigint, at bigint").join(vocab, "h")
-    known = asked.groupBy(F.shiftright("at", _LID).alias("block")).agg(F.collect_list(F.shiftleft(F.col("at").bitwiseAND((1 << _LID) - 1), _COUNT).bitwiseOR(F.col("n"))).alias("known"))
+    head = head_of(vocab, head_words)
+    discard(vocab)
+    counts = bigrams(blocks, head)
+    head.classes = exchange(head, counts)
+    rest = written(others(blocks, head, by_class(counts, head.place_classes, head.size)), "classes")
+    ready = labelled(blocks, head, rest)
+    discard(blocks)
+    sent = docs.sparkSession.sparkContext.broadcast(model_of(ready, head, rest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
         for batch in batches:
+            kind = batch.schema.field("ids").type.value_type
             for row in batch.to_pylist():
-                tokens, h = np.frombuffer(row["tokens"], np.uint32), np.frombuffer(row["words"], np.int64)
-                packed = np.array(row["known"] or [], np.int64)
-                n = np.zeros(len(h), np.int64)
-                n[packed >> _COUNT] = packed & ((1 << _COUNT) - 1)
-                at, classes = m.lexicon.classes_of(h)
-                n[at >= 0] = m.lexicon.counts[at[at >= 0]]
+                tokens, n, c = unpacked(row["tokens"]), np.frombuffer(row["n"], np.int64).copy(), np.frombuffer(row["c"], np.uint16)
+                # The end is a word like others: every training text has one.
+                n[0] = m.in_class[m.end]
                 base = np.log10((n + 0.5) / (m.total + 0.5 * (m.distinct + 1)))
-                emit = np.log10((n + EMISSION) / (m.in_class[CLASSES] + EMISSION * (m.others + 1)))
-                emit[at >= 0] = np.log10(n[at >= 0] / np.maximum(m.in_class[classes[at >= 0]], 1))
+                emit = np.log10((n + EMISSION) / (m.in_class[c] + EMISSION * m.words[c]))
                 emit[0] = 0
-                c = classes[tokens]
-                before = np.concatenate(([CLASSES + 1], c[:-1]))
+                kinds = c[tokens]
+                before = np.concatenate(([m.end], kinds[:-1]))
                 sizes = np.array(row["sizes"])
                 first = np.cumsum(sizes) - sizes
                 add = lambda x, first=first: np.add.reduceat(x, first)
-                made = [pa.array(sizes.astype(np.int64)), pa.array(add((n[tokens] > 0).astype(np.int64))), pa.array(np.full(len(sizes), m.total)), pa.array(add(base[tokens])), pa.array(add(m.transition[before, c] + emit[tokens]))]
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], kind(batch)), pa.array(row["held"]), *made], names=names)
+                made = [pa.array(sizes.astype(np.int64)), pa.array(add((n[tokens] > 0).astype(np.int64))), pa.array(np.full(len(sizes), m.total)), pa.array(add(base[tokens])), pa.array(add(m.transition[before, kinds] + emit[tokens]))]
+                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], kind), pa.array(row["held"]), *made], names=names)
 
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kind = lambda batch: batch.schema.field("ids").type.value_type
     id_kind = docs.schema[id_col].dataType.simpleString()
-    both = blocks.select("block", "ids", "held", "sizes", "tokens", "words").join(known, "block", "left")
-    return both.select("ids", "held", "sizes", "tokens", "words", "known").mapInArrow(run, f"`{id_col}` {id_kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return ready.mapInArrow(run, f"`{id_col}` {id_kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
