@@ -19,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, table, written
+from .common import bucketed, collected, table
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -41,6 +41,8 @@ EMISSION = 0.5
 END = b"\n"
 #: Bits of a word's number in its block's dictionary.
 _LID = 24
+#: Rows whose gains are held at once.
+PIECE = 1000
 #: Steps of a first-order gain: whole numbers, so that sums don't depend on their order.
 _STEPS = 1 << 20
 
@@ -172,8 +174,8 @@ def _summed(blocks: DataFrame, columns: list[str], cells: int, count) -> np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int64)
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at, n = np.unique(count(*row), return_counts=True)
+            for i in range(batch.num_rows):
+                at, n = np.unique(count(*(c[i].as_py() for c in batch.columns)), return_counts=True)
                 total[at] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
@@ -253,6 +255,19 @@ def exchange(head: Head, counts: np.ndarray, passes: int = PASSES) -> np.ndarray
     return classes[:k]
 
 
+def _binary(numbers: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Numbers of 16 bits as binary values, each beginning at one of `first`."""
+    offsets = np.append(first, len(numbers)).astype(np.int32) * 2
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(numbers.astype(np.uint16))])
+
+
+def _numbers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What _binary() packed, and where each value begins in it."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(data, np.uint16, (at[-1] - at[0]) // 2, at[0]), (at[:-1] - at[0]) // 2
+
+
 def gains(pairs: np.ndarray, free: int) -> np.ndarray:
     """What one more occurrence after class c (row c), or before it (row size + c), adds for each class that a word may have: the logarithm of the transition, in whole steps."""
     size, sums = len(pairs), pairs.sum(axis=0)
@@ -281,8 +296,11 @@ def others(blocks: DataFrame, head: Head, pairs: np.ndarray) -> DataFrame:
                 word = flat[asks].astype(np.int64) * (2 * size)
                 # No text begins without an end before it, and none but the end is last.
                 before = np.concatenate(([m.end], c[:-1]))[asks]
-                cell, n = np.unique(np.concatenate((word + before, word + size + c[asks + 1])), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h[cell // (2 * size)]), pa.array((cell % (2 * size)).astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "cell", "n"])
+                cell = np.sort(np.concatenate((word + before, word + size + c[asks + 1])))
+                if not len(cell):
+                    continue
+                first = np.flatnonzero(np.diff(cell // (2 * size), prepend=-1))
+                yield pa.RecordBatch.from_arrays([pa.array(h[cell[first] // (2 * size)]), _binary(cell % (2 * size), first)], names=["h", "cells"])
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, gain = sent.value, table_of.value
@@ -292,15 +310,13 @@ def others(blocks: DataFrame, head: Head, pairs: np.ndarray) -> DataFrame:
 
         # Rows come by word; the last word of a batch may go on in the next.
         last = None
-        for batch in batches:
-            h, cell, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(h):
-                continue
-            n = n.astype(np.int64)
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            score = np.add.reduceat(gain[cell] * n[:, None], first, axis=0)
+        for piece in (batch.slice(i, PIECE) for batch in batches for i in range(0, batch.num_rows, PIECE)):
+            h = piece.column(0).to_numpy()
+            cell, start = _numbers(piece.column(1))
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            score = np.add.reduceat(gain[cell], start[at], axis=0)
             # Each occurrence has one class before it.
-            seen, names = np.add.reduceat(np.where(cell < m.size, n, 0), first), h[first]
+            seen, names = np.add.reduceat((cell < m.size).astype(np.int64), start[at]), h[at]
             if last is not None:
                 if last[0][0] == names[0]:
                     seen[0] += last[1][0]
@@ -313,12 +329,12 @@ def others(blocks: DataFrame, head: Head, pairs: np.ndarray) -> DataFrame:
         if last is not None:
             yield made(*last)
 
-    asked = blocks.select("tokens", "words", "held", "sizes").mapInArrow(cells, "h bigint, cell int, n int")
+    asked = blocks.select("tokens", "words", "held", "sizes").mapInArrow(cells, "h bigint, cells binary")
     return asked.repartition("h").sortWithinPartitions("h").mapInArrow(moved, "h bigint, n bigint, c int")
 
 
-def labelled(blocks: DataFrame, head: Head, rest: DataFrame) -> DataFrame:
-    """Blocks with the training count and class of each word of their dictionaries, instead of its hash. Dictionaries alone meet the corpus's words."""
+def labelled(blocks: DataFrame, head: Head, rest: DataFrame, buckets: int) -> DataFrame:
+    """Blocks with counts and classes of their words outside the head: x (a word's number in the dictionary, then 16 bits for its class) and n. Dictionaries alone meet the corpus's words; what they got meets the blocks bucket by bucket, where these lie."""
     sent = blocks.sparkSession.sparkContext.broadcast(head)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,41 +345,44 @@ def labelled(blocks: DataFrame, head: Head, rest: DataFrame) -> DataFrame:
                 lid = np.flatnonzero(m.find(h) == len(m.hashes))
                 yield pa.RecordBatch.from_arrays([pa.array(h[lid]), pa.array(block << _LID | lid)], names=["h", "at"])
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Head = sent.value
-        for batch in batches:
-            where = [m.find(np.frombuffer(w, np.int64)).astype(np.uint16).tobytes() for w in batch.column("words").to_pylist()]
-            yield batch.set_column(batch.schema.get_field_index("words"), "words", pa.array(where, pa.binary()))
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(block, parts):
+            x, n = (np.concatenate(p).tobytes() for p in zip(*parts, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([x], pa.binary()), pa.array([n], pa.binary())], names=["block", "x", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Head = sent.value
-        ends = np.zeros(len(m.hashes) + 2, np.int64)
-        ends[:-2] = m.counts
-        classes = m.place_classes
+        # Rows come by block; a block has no more of them than words.
+        last, parts = None, []
         for batch in batches:
-            ns, cs = [], []
-            for words, lid, n, c in zip(batch.column("words").to_pylist(), *(batch.column(x) for x in ("lid", "n", "c")), strict=True):
-                place = np.frombuffer(words, np.uint16)
-                count, kind = ends[place], classes[place].astype(np.uint16)
-                if lid.is_valid:
-                    at = lid.values.to_numpy(zero_copy_only=False)
-                    count[at] = n.values.to_numpy(zero_copy_only=False)
-                    kind[at] = c.values.to_numpy(zero_copy_only=False)
-                ns.append(count.tobytes())
-                cs.append(kind.tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(ns, pa.binary()), pa.array(cs, pa.binary())], names=[*keep, "n", "c"])
-
-    keep = ["ids", "held", "sizes", "tokens"]
-    asked = blocks.select("block", "words").mapInArrow(entries, "h bigint, at bigint").join(rest, "h")
-    lid = F.col("at").bitwiseAND((1 << _LID) - 1).cast("int").alias("lid")
-    lists = asked.groupBy(F.shiftright("at", _LID).alias("block")).agg(F.collect_list(F.struct(lid, "n", "c")).alias("x"))
-    known = written(lists.select("block", "x.lid", "x.n", "x.c"), "known")
-    ready = blocks.select("block", *keep, "words")
-    out = ready.mapInArrow(placed, ready.schema).join(known, "block", "left").select(*keep, "words", "lid", "n", "c")
-    kinds = ", ".join(f"{x} {blocks.schema[x].dataType.simpleString()}" for x in keep)
-    out = written(out.mapInArrow(run, f"{kinds}, n binary, c binary"), "labelled")
-    discard(known)
-    return out
+            at, n = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            block, x, n = at >> _LID, (at & ((1 << _LID) - 1)) << 16 | n & 0xFFFF, n >> 16
+            for i in np.split(np.arange(len(at)), np.flatnonzero(np.diff(block)) + 1):
+                if not len(i):
+                    continue
+                if parts and last != block[i[0]]:
+                    yield made(last, parts)
+                    parts = []
+                last = int(block[i[0]])
+                parts.append((x[i], n[i]))
+        if parts:
+            yield made(last, parts)
+
+    asked = blocks.select("block", "words").mapInArrow(entries, "h bigint, at bigint").join(rest, "h").select("at", F.shiftleft("n", 16).bitwiseOR(F.col("c")).alias("n"))
+    by_block = asked.repartition(buckets, F.shiftright("at", _LID)).sortWithinPartitions("at")
+    collected(blocks.sparkSession)
+    known = bucketed(by_block.mapInArrow(gathered, "block bigint, x binary, n binary"), "known", "block", buckets)
+    # A bucket's share of `known` is hashed, so that blocks needn't be sorted.
+    return blocks.join(known.hint("shuffle_hash"), "block", "left").select("ids", "held", "sizes", "tokens", "words", "x", "n")
+
+
+def counts_and_classes(head: Head, words: bytes, x: bytes | None, n: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word of a block's dictionary."""
+    place = head.find(np.frombuffer(words, np.int64))
+    count, kind = np.append(head.counts, [0, 0]).astype(np.int64)[place], head.place_classes[place]
+    if x is not None:
+        x = np.frombuffer(x, np.int64)
+        count[x >> 16] = np.frombuffer(n, np.int64)
+        kind[x >> 16] = x & 0xFFFF
+    return count, kind
 
 
 @dataclass
@@ -373,27 +392,24 @@ class Model:
     #: Of each class, training tokens and distinct words; of the rare one, an unknown word is one more.
     in_class: np.ndarray
     words: np.ndarray
-    rare: int
-    end: int
-    total: int
-    distinct: int
+    head: Head
 
 
 def model_of(ready: DataFrame, head: Head, rest: DataFrame) -> Model:
     """Transitions of the classes that all words have in the end, from all training texts."""
-    size, end = head.size, head.end
+    size, sent = head.size, ready.sparkSession.sparkContext.broadcast(head)
 
-    def count(tokens, c, held, sizes):
-        at = np.frombuffer(c, np.uint16)[_training(tokens, held, sizes)].astype(np.int64)
-        return np.concatenate(([end], at[:-1])) * size + at if len(at) else at
+    def count(tokens, words, x, n, held, sizes):
+        at = counts_and_classes(sent.value, words, x, n)[1][_training(tokens, held, sizes)]
+        return np.concatenate(([sent.value.end], at[:-1])) * size + at if len(at) else at
 
-    pairs = _summed(ready, ["tokens", "c", "held", "sizes"], size * size, count).reshape(size, size)
+    pairs = _summed(ready, ["tokens", "words", "x", "n", "held", "sizes"], size * size, count).reshape(size, size)
     words = np.bincount(head.classes, minlength=size) if len(head.classes) else np.zeros(size, np.int64)
     for c, n in rest.groupBy("c").count().collect():  # one row a class
         words[c] += n
     words[head.rare] += 1
     transition = np.log10((pairs + TRANSITION) / (pairs.sum(axis=1, keepdims=True) + TRANSITION * size))
-    return Model(transition, pairs.sum(axis=0), words, head.rare, end, head.total, head.distinct)
+    return Model(transition, pairs.sum(axis=0), words, head)
 
 
 def scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD) -> DataFrame:
@@ -403,34 +419,39 @@ def scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
     alone. Texts are taken whole, with up to 2^24 distinct words each. Rows that are equal, or share an id, count as often as
     they occur. Without training texts every word is unknown. An empty table gives an empty table. Other columns aren't read.
     """
-    blocks = written(encoded(docs, held_out, id_col, text_col), "blocks")
-    vocab = written(vocabulary(blocks), "vocabulary")
+    made = encoded(docs, held_out, id_col, text_col)
+    buckets = 2 * max(1, made.rdd.getNumPartitions())
+    blocks = bucketed(made, "blocks", "block", buckets)
+    # What a lost executor kept of these follows again from the blocks, and is the same.
+    vocab = vocabulary(blocks).persist(StorageLevel.DISK_ONLY)
     head = head_of(vocab, head_words)
-    discard(vocab)
+    vocab.unpersist()
+    del vocab
     counts = bigrams(blocks, head)
     head.classes = exchange(head, counts)
-    rest = written(others(blocks, head, by_class(counts, head.place_classes, head.size)), "classes")
-    ready = labelled(blocks, head, rest)
-    discard(blocks)
+    rest = others(blocks, head, by_class(counts, head.place_classes, head.size)).persist(StorageLevel.DISK_ONLY)
+    ready = labelled(blocks, head, rest, buckets)
     sent = docs.sparkSession.sparkContext.broadcast(model_of(ready, head, rest))
+    rest.unpersist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value
         for batch in batches:
             kind = batch.schema.field("ids").type.value_type
-            for row in batch.to_pylist():
-                tokens, n, c = unpacked(row["tokens"]), np.frombuffer(row["n"], np.int64).copy(), np.frombuffer(row["c"], np.uint16)
+            for row in (x for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):
+                tokens = unpacked(row["tokens"])
+                n, c = counts_and_classes(m.head, row["words"], row["x"], row["n"])
                 # The end is a word like others: every training text has one.
-                n[0] = m.in_class[m.end]
-                base = np.log10((n + 0.5) / (m.total + 0.5 * (m.distinct + 1)))
+                n[0] = m.in_class[m.head.end]
+                base = np.log10((n + 0.5) / (m.head.total + 0.5 * (m.head.distinct + 1)))
                 emit = np.log10((n + EMISSION) / (m.in_class[c] + EMISSION * m.words[c]))
                 emit[0] = 0
                 kinds = c[tokens]
-                before = np.concatenate(([m.end], kinds[:-1]))
+                before = np.concatenate(([m.head.end], kinds[:-1]))
                 sizes = np.array(row["sizes"])
                 first = np.cumsum(sizes) - sizes
                 add = lambda x, first=first: np.add.reduceat(x, first)
-                made = [pa.array(sizes.astype(np.int64)), pa.array(add((n[tokens] > 0).astype(np.int64))), pa.array(np.full(len(sizes), m.total)), pa.array(add(base[tokens])), pa.array(add(m.transition[before, kinds] + emit[tokens]))]
+                made = [pa.array(sizes.astype(np.int64)), pa.array(add((n[tokens] > 0).astype(np.int64))), pa.array(np.full(len(sizes), m.head.total)), pa.array(add(base[tokens])), pa.array(add(m.transition[before, kinds] + emit[tokens]))]
                 yield pa.RecordBatch.from_arrays([pa.array(row["ids"], kind), pa.array(row["held"]), *made], names=names)
 
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from functools import reduce
 from operator import and_
@@ -16,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def collected(spark: SparkSession) -> None:
+    """Lets files of shuffles go that nothing needs again: the driver's JVM has to see that nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df`, written to the shared folder and read again: its lineage is cut, so a lost executor costs no recomputation of what lies before. The files go when the application ends."""
     spark = df.sparkSession
@@ -30,9 +37,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like written(), dealt into files by a column: tables of as many buckets join on it without a shuffle. The session's catalogue has an entry for it until discard()."""
+    spark = df.sparkSession
+    called = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{called}"
+    df.write.bucketBy(min(buckets, 100_000), key).option("compression", "zstd").option("path", path).saveAsTable(called, format="parquet")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.table(called)
+    out._written, out._called = path, called
+    return out
+
+
 def discard(df: DataFrame) -> None:
-    """Deletes the files of a table of written() that nothing reads any more."""
+    """Deletes the files of a table of written() or bucketed() that nothing reads any more."""
     spark = df.sparkSession
+    if hasattr(df, "_called"):
+        spark.sql(f"DROP TABLE IF EXISTS {df._called}")
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
