@@ -28,9 +28,8 @@ DECAY = 0.7
 #: Longer strings are cut into windows so long, each beginning half a window after the last.
 WINDOW = 24
 LANDMARKS = 96
-#: Labelled rows that training takes of each class at most (in the order of a hash of the id), and their longest text.
+#: Labelled rows that training takes of each class at most (in the order of a hash of the id).
 ROWS = 3000
-LONGEST = 20_000
 #: Distinct strings of clean texts that training takes at most.
 NEGATIVES = 40_000
 ROUNDS = 3
@@ -137,7 +136,7 @@ def self_kernel(chars: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.nda
 
 
 def _features(words: list[str], alphabet: np.ndarray) -> np.ndarray:
-    """Dense subsequence features of a few strings (landmarks), each of length one."""
+    """Dense subsequence features of a few strings (landmarks), over the length of all their features. Triples with a character outside the alphabet, whose code is 0, are left out, and so out of every kernel with them."""
     size = len(alphabet) + 1
     m = Machine(alphabet, np.zeros(0), 0, 1, 0, 0)
     out = np.zeros((len(words), size**3), np.float32)
@@ -146,7 +145,10 @@ def _features(words: list[str], alphabet: np.ndarray) -> np.ndarray:
         triple = (c[:, at[0]] * size + c[:, at[1]]) * size + c[:, at[2]]
         for row, t in zip(block, triple, strict=True):
             np.add.at(out[row], t, weight.astype(np.float32))
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+        out[block] /= np.sqrt(self_kernel(chars, at, weight))[:, None].astype(np.float32)
+    by_place = out.reshape(len(words), size, size, size)
+    by_place[:, 0] = by_place[:, :, 0] = by_place[:, :, :, 0] = 0
+    return out
 
 
 def kernel(words: list[str], landmarks: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
@@ -217,8 +219,12 @@ def bag(text: str | None) -> set[str]:
 
 
 def train(rows: list[tuple[str | None, int]]) -> Machine:
-    """A machine from labelled texts. With one class only, or no string, every text gets that class's share."""
-    bags = [(bag(t), int(y)) for t, y in rows]
+    """A machine from labelled texts."""
+    return train_bags([(bag(t), int(y)) for t, y in rows])
+
+
+def train_bags(bags: list[tuple[set[str], int]]) -> Machine:
+    """A machine from labelled bags. With one class only, or no string, every text gets that class's share."""
     pos, neg = [b for b, y in bags if y and b], [b for b, y in bags if not y]
     share = sum(y for _, y in bags) / max(1, len(bags))
     if not pos or not any(neg):
@@ -306,13 +312,24 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> Machine:
-    """A machine from the labelled rows that aren't held out: at most `rows` of each class, in the order of a hash of the id, with texts of at most `longest` characters. The driver gets these alone."""
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Machine:
+    """A machine from the labelled rows that aren't held out: at most `rows` of each class, in the order of a hash of the id. The driver gets their bags alone.
+
+    Texts count whole, however long; null and empty ones are empty bags. Labels that are null or repeated, and labels of no
+    document, change nothing; a document with both labels counts once with each. Documents that share an id share its label.
+    """
     ids = [labels.where((~held_out(F.col("doc_id"))) & (F.col("toxic") == y)).select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(bag(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(0)], names=["strings", "toxic"])
+
     # At most 2 * rows ids are broadcast; texts move only if they are in the sample.
-    known = docs.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").where(F.length("text") <= longest)
-    got = known.orderBy(F.xxhash64("doc_id"), "text", "toxic").limit(2 * rows).select("text", "toxic").collect()
-    return train([tuple(x) for x in got])
+    known = docs.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    first = known.orderBy(F.xxhash64("doc_id"), "text", "toxic").limit(2 * rows).select(F.col("toxic").cast("int"), "text")
+    got = first.mapInArrow(bags, "strings array<string>, toxic int").collect()
+    return train_bags([(set(x), y) for x, y in got])
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
