@@ -328,8 +328,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Machine:
     # At most 2 * rows ids are broadcast; texts move only if they are in the sample.
     known = docs.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
     first = known.orderBy(F.xxhash64("doc_id"), "text", "toxic").limit(2 * rows).select(F.col("toxic").cast("int"), "text")
-    got = first.mapInArrow(bags, "strings array<string>, toxic int").collect()
-    return train_bags([(set(x), y) for x, y in got])
+    got, one = first.mapInArrow(bags, "strings array<string>, toxic int").toArrow(), {}
+    # Equal strings of different bags are one object.
+    return train_bags([({one.setdefault(w, w) for w in x.as_py()}, y) for x, y in zip(got["strings"], got["toxic"].to_pylist(), strict=True)])
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
