@@ -23,7 +23,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, collected, table
+from .common import bucketed, collected, discard, table, written
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
@@ -366,7 +366,7 @@ def labelled(blocks: DataFrame, head: Head, rest: DataFrame, buckets: int) -> Da
         if parts:
             yield made(last, parts)
 
-    asked = blocks.select("block", "words").mapInArrow(entries, "h bigint, at bigint").join(rest, "h").select("at", F.shiftleft("n", 16).bitwiseOR(F.col("c")).alias("n"))
+    asked = blocks.select("block", "words").mapInArrow(entries, "h bigint, at bigint").join(rest.hint("merge"), "h").select("at", F.shiftleft("n", 16).bitwiseOR(F.col("c")).alias("n"))
     by_block = asked.repartition(buckets, F.shiftright("at", _LID)).sortWithinPartitions("at")
     collected(blocks.sparkSession)
     known = bucketed(by_block.mapInArrow(gathered, "block bigint, x binary, n binary"), "known", "block", buckets)
@@ -422,17 +422,18 @@ def scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
     made = encoded(docs, held_out, id_col, text_col)
     buckets = 2 * max(1, made.rdd.getNumPartitions())
     blocks = bucketed(made, "blocks", "block", buckets)
-    # What a lost executor kept of these follows again from the blocks, and is the same.
+    # What a lost executor kept of this follows again from the blocks, and is the same.
     vocab = vocabulary(blocks).persist(StorageLevel.DISK_ONLY)
     head = head_of(vocab, head_words)
     vocab.unpersist()
     del vocab
     counts = bigrams(blocks, head)
     head.classes = exchange(head, counts)
-    rest = others(blocks, head, by_class(counts, head.place_classes, head.size)).persist(StorageLevel.DISK_ONLY)
+    # Written, so that the shuffle of all cells is gone before dictionaries are shuffled.
+    rest = written(others(blocks, head, by_class(counts, head.place_classes, head.size)), "rest")
     ready = labelled(blocks, head, rest, buckets)
     sent = docs.sparkSession.sparkContext.broadcast(model_of(ready, head, rest))
-    rest.unpersist()
+    discard(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = sent.value

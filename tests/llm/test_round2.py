@@ -3,8 +3,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from chunklake.llm import nearcopies, suffixes
+from chunklake.llm import brown, nearcopies, suffixes
 
 from .test_llm import prose
 from .test_nearcopies import kept
@@ -59,3 +60,12 @@ def test_prefixes_by_frequency(spark):
     got = {x.r: x for x in nearcopies._by_frequency(spark.createDataFrame(sets, "r bigint, grams array<bigint>").repartition(3), 80).collect()}
     assert all(got[r].n == len(s) and len(got[r].head) == nearcopies._prefix(len(s), 80) for r, s in sets)
     assert not any(set(common) & set(got[r].head) for r in range(1, 300)) and got[0].head == common[:7]
+
+
+def test_words_classes_keep_no_shuffle(frame, monkeypatch):
+    rnd = random.Random(4)
+    plans, labelled = [], brown.labelled
+    monkeypatch.setattr(brown, "labelled", lambda blocks, head, rest, buckets: plans.append(rest._jdf.queryExecution().executedPlan().toString()) or labelled(blocks, head, rest, buckets))
+    got = brown.scores(frame([(i, prose(rnd, 60)) for i in range(40)]).repartition(2), F.col("doc_id") % 5 == 1, head_words=20).collect()
+    assert len(got) == 40 and all(r.score < 0 and r.n_tokens == 61 for r in got)
+    assert len(plans) == 1 and "Exchange" not in plans[0]
